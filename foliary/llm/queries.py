@@ -19,6 +19,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_key_a"), F.col("id_b").alias("chunk_key_b"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliary.llm.vectors import nearest_vectors
+
+    near = nearest_vectors(_table(spark, d, "cache_entries"), "entry_id", "question_embedding", k=5, least_cosine=0.9)
+    return near.select(F.least("a", "b").alias("entry_id_a"), F.greatest("a", "b").alias("entry_id_b")).distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from foliary.llm.history import known_incoming
 
