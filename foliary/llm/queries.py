@@ -32,6 +32,28 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return known_incoming(_table(spark, d, "chunks"), _table(spark, d, "incoming_chunks"), "chunk_key", "incoming_id", "batch_no")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliary.llm.splitting import split_texts
+
+    cuts = [
+        split_texts(_table(spark, d, t), i, "text", whole=False).groupBy(F.lit(kind).alias("item_kind"), F.col("id").alias("item_id")).agg(F.max("forced").alias("forced"))
+        for t, i, kind in (("extractions", "file_id", "extraction"), ("chunks", "chunk_key", "chunk"))
+    ]
+    return cuts[0].union(cuts[1]).select("item_kind", "item_id", F.when(F.col("forced"), "forced").otherwise("natural").alias("cut"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from foliary.llm.tokens import encode_texts
+
+    return encode_texts(_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    from foliary.llm.packing import pack_texts
+
+    return pack_texts(_table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
 
