@@ -42,6 +42,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return cuts[0].union(cuts[1]).select("item_kind", "item_id", F.when(F.col("forced"), "forced").otherwise("natural").alias("cut"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliary.llm.language import labelled_windows, train
+    from foliary.llm.pairs import Tagger, defective_pairs, sample_pairs
+
+    feedback = _table(spark, d, "feedback")
+    tagger = Tagger(train(*labelled_windows(_table(spark, d, "extractions"), "text", "language")))
+    tagger.teach(sample_pairs(feedback, "feedback_id", "question", "answer_text", most=3000))
+    return defective_pairs(feedback, "feedback_id", "question", ["answer_text", "suggested_answer"], tagger, required=("answer_text",))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliary.llm.language import detect_languages, wrong_languages
+
+    found = wrong_languages(detect_languages(_table(spark, d, "extractions"), "file_id", "text", "language"))
+    return found.select(F.col("id").alias("file_id"), "paragraph_no", "language")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from foliary.llm.tokens import encode_texts
 
