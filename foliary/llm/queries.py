@@ -71,6 +71,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(_table(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliary.llm.residue import residue_ids
+
+    return residue_ids(_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    from foliary.llm.residue import without_residue
+
+    return without_residue(_table(spark, d, "documents"), "doc_id", "text").select("doc_id", "text", "lang", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
 
