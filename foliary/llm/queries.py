@@ -19,6 +19,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_key_a"), F.col("id_b").alias("chunk_key_b"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliary.llm.scanned import scan_defects
+
+    return scan_defects(_table(spark, d, "ocr_pages"))
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    from foliary.llm.scanned import repaired_documents
+
+    return repaired_documents(_table(spark, d, "ocr_pages"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from foliary.llm.vectors import nearest_vectors
 
