@@ -27,6 +27,7 @@ PAGE_WORDS = frozenset("page seite pagina página pag pg p s folio blatt feuille
 SHAPES = (("cl", "d"), ("ii", "u"), ("rn", "m"), ("m", "rn"), ("m", "in"), ("in", "m"), ("li", "h"), ("vv", "w"), ("ri", "n"), ("tl", "d"), ("nn", "m"), ("ni", "m"), ("d", "cl"), ("u", "ii"), ("h", "li"), ("w", "vv"), ("n", "ri"))
 SIGNS = "@|$€0123456789"
 ZONE = 3
+LEAST_KEY = 7  # characters of a running head
 
 
 def head_key(line: str) -> str:
@@ -57,23 +58,26 @@ def zones(lines: list[str]) -> tuple[list[int], list[int]]:
     return full[:ZONE], full[-ZONE:]
 
 
-def page_value(line: str) -> int | None:
-    """The number a line shows if it holds nothing but a page's number, in any dress."""
+def page_values(line: str) -> list[int]:
+    """The numbers a line may show if it holds nothing but a page's number, in any dress; digits may be misread as letters."""
     s = line.strip()
-    m = NUMBER_LINE.match(s)
-    if not m or len(s) > 24:
-        return None
-    word = re.match(r"\W*([^\W\d_]+)\.?\s+\W*(?=[\divxlcIVXLC])", s)
-    if word and word[1].lower() not in PAGE_WORDS and not any(close(word[1].lower() + "____", p + "____", 0.1) for p in PAGE_WORDS if len(p) > 3):
-        return None
-    n = m[1].lower()
-    if n.isdigit():
-        return int(n)
-    r = ROMAN.match(n)
-    if not r:
-        return None
-    units = {"": 0, "i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9}
-    return 10 * len(r[1]) + units[r[2]]
+    if not s or len(s) > 24:
+        return []
+    out = []
+    for t in dict.fromkeys((s, re.sub(r"(?<![^\W\d_])[\dlIO|o]+(?![^\W\d_])", lambda m: m[0].translate(str.maketrans("lI|Oo", "11100")), s))):
+        m = NUMBER_LINE.match(t)
+        if not m:
+            continue
+        word = re.match(r"\W*([^\W\d_]+)\.?\s+\W*(?=[\divxlcIVXLC])", t)
+        if word and word[1].lower() not in PAGE_WORDS and not any(close(word[1].lower() + "____", p + "____", 0.1) for p in PAGE_WORDS if len(p) > 3):
+            continue
+        n = m[1].lower()
+        if n.isdigit():
+            out.append(int(n))
+        elif r := ROMAN.match(n):
+            units = {"": 0, "i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9}
+            out.append(10 * len(r[1]) + units[r[2]])
+    return out
 
 
 @dataclass
@@ -278,8 +282,7 @@ def furniture(lines: list[str], page: int, heads: list[str], offsets: list[int])
         for depth, i in enumerate(zone):
             if i in out:
                 continue
-            value = page_value(lines[i])
-            if value is not None and (value - page in offsets or (not offsets and depth == 0 and value == page)):
+            if any(v - page in offsets or (not offsets and depth == 0 and v == page) for v in page_values(lines[i])):
                 out[i] = "page_number"
                 continue
             key = head_key(lines[i])
@@ -430,10 +433,9 @@ def _layout(pages: DataFrame) -> DataFrame:
                 lines = t.split("\n")
                 for name, zone in zip(("top", "bottom"), zones(lines)):
                     for i in zone:
-                        v = page_value(lines[i])
-                        if v is not None:
-                            rows.append((d, "number", str(v - p), p))
-                        elif len(k := head_key(lines[i])) >= 5:
+                        values = page_values(lines[i])
+                        rows += [(d, "number", str(v - p), p) for v in values]
+                        if not values and len(k := head_key(lines[i])) >= LEAST_KEY:
                             rows.append((d, name, k, p))
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["doc", "zone", "key", "page"])
