@@ -1 +1 @@
-"""Part of foliary; see README.md."""
+"""Column builders: pure expressions, no data movement."""
