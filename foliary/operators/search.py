@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
-from foliary.functions import vectors as V
 from foliary.session import materialize
 
 RRF_K = 60
@@ -18,18 +21,61 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = No
     return out if k is None else out.where(F.col(name) < k)
 
 
-def dense_top_k(questions: DataFrame, corpus: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
+def _block_search(ids: list, queries: np.ndarray, k: int, by: int):
+    """Per Arrow batch and group, the rows that can be among the k nearest of each question of the block."""
+    lengths = (queries * queries).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            ok = np.flatnonzero(np.asarray(lists.value_lengths().fill_null(0)) == queries.shape[1])
+            x = np.asarray(lists.take(pa.array(ok)).flatten().fill_null(np.nan), dtype=np.float64).reshape(-1, queries.shape[1])
+            sound = np.isfinite(x).all(axis=1)
+            x, ok = x[sound], ok[sound]
+            groups: dict[tuple, list[int]] = {}
+            for i, g in enumerate(zip(*(b.column(2 + c).take(pa.array(ok)).to_pylist() for c in range(by)))) if by else ():
+                groups.setdefault(g, []).append(i)
+            for rows in [np.array(v) for v in groups.values()] if by else [np.arange(len(ok))]:
+                if not len(rows):
+                    continue
+                d = np.maximum(0.0, (x[rows] ** 2).sum(axis=1)[None] + lengths[:, None] - 2 * queries @ x[rows].T)
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.inf)
+                q, r = np.nonzero(d <= edge[:, None] + 1e-9)
+                take = pa.array(ok[rows[r]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[i] for i in q]), b.column(0).take(take), *(b.column(2 + c).take(take) for c in range(by)), pa.array(d[q, r])],
+                    names=["query_id", "chunk_id", *(f"g{c}" for c in range(by)), "distance"],
+                )
+
+    return run
+
+
+def dense_top_k(questions: DataFrame, corpus: DataFrame, k: int = 10, by: list[str] | None = None, block: int = 4096) -> DataFrame:
     """query_id, chunk_id, distance (squared L2), rank: the k nearest of every question (for each value of the corpus columns `by`).
 
-    questions: query_id, embedding; corpus: chunk_id, embedding and the `by` columns. Ties go to the smaller chunk_id. Null vectors and
-    vectors of another length than the question's take no part. A stated question set meets the whole corpus; each corpus task holds the
-    questions and sends at most k rows a question on.
+    questions: query_id, embedding; corpus: chunk_id, embedding and the `by` columns. Ties (to nine places) go to the smaller chunk_id.
+    Null vectors, vectors with holes or of another length than the questions' take no part. The question set meets the whole corpus in
+    blocks of at most `block` questions, one pass over the corpus for each; a task sends few rows a question on.
     """
     by = by or []
-    q = questions.where("embedding is not null").select("query_id", F.col("embedding").alias("q"))
-    c = corpus.where("embedding is not null and chunk_id is not null").select("chunk_id", "embedding", *by)
-    met = c.join(q, F.size("embedding") == F.size("q")).select("query_id", "chunk_id", *by, V.squared_l2("embedding", "q").alias("distance"))
-    return ranked(met, ["query_id", *by], [F.col("distance"), F.col("chunk_id")], k)
+    kinds = dict(corpus.dtypes)
+    asked = questions.where("embedding is not null and query_id is not null").select("query_id", "embedding")
+    kind = dict(questions.dtypes)["query_id"]
+    shape = f"query_id {kind}, chunk_id {kinds['chunk_id']}, " + "".join(f"g{i} {kinds[c]}, " for i, c in enumerate(by)) + "distance double"
+    blocks, out = max(1, -(-asked.count() // block)), None
+    for n in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).limit(2 * block).collect() if blocks > 1 else asked.collect()
+        if not rows:
+            continue
+        dim = len(rows[0].embedding)
+        rows = [r for r in rows if len(r.embedding) == dim and None not in r.embedding]
+        run = _block_search([r.query_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64), k, len(by))
+        part = corpus.where("embedding is not null and chunk_id is not null").select("chunk_id", F.col("embedding").cast("array<float>"), *by).mapInArrow(run, shape)
+        out = part if out is None else out.union(part)
+    if out is None:
+        return questions.sparkSession.createDataFrame([], shape + ", rank int").withColumnsRenamed({f"g{i}": c for i, c in enumerate(by)})
+    out = out.withColumnsRenamed({f"g{i}": c for i, c in enumerate(by)}).withColumn("distance", F.round("distance", 9))
+    return ranked(out, ["query_id", *by], [F.col("distance"), F.col("chunk_id")], k)
 
 
 def postings(corpus: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -56,11 +102,11 @@ def bm25(questions: DataFrame, index: DataFrame, k: int | None = 30, k1: float =
     terms are read on; scores are summed before the exchange.
     """
     asked = questions.select("query_id", F.explode(T.index_tokens("question")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    stats, df = lexical_statistics(index), document_frequencies(index)
-    terms = asked.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    terms = terms.select("query_id", "term", (F.col("qtf") * idf).alias("w"), "avg_len")
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    stats = lexical_statistics(index).first()  # two numbers
+    n, mean = float(stats.n_docs), float(stats.avg_len or 1.0) or 1.0
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    terms = asked.join(document_frequencies(index), "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean)))
     met = index.where("term is not null").join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
     met = met.withColumn("score", F.round("score", 9))
     return ranked(met, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
