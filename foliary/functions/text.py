@@ -41,6 +41,9 @@ CHUNK_STOPWORDS = (
 ).split()
 # Recommended chunk sizes by density.
 CHUNK_SIZES = {"very_dense": 800, "dense": 1200, "normal": 1500, "sparse": 2000}
+# What marks a sentence that defines or requires.
+DEFINES = r"(?i)means|is defined as|refers to|shall be|is the"
+REQUIRES = r"(?i)shall|must|require|mandatory"
 REGULATION_REF = r"(?i)(?:CS|AMC|GM)[-\s]?\d+(?:[.\-]\d+)*[A-Za-z]?"
 
 
@@ -223,10 +226,8 @@ def pages(text: Column | str) -> Column:
 def key_phrases(text: Column | str, most: int = 5) -> Column:
     """Sentences that define, then sentences that require, of 21 to 299 characters, each once."""
     t = F.coalesce(_c(text), F.lit(""))
-    found = F.concat(
-        F.regexp_extract_all(t, F.lit(r"(?i)[^.]*(?:means|is defined as|refers to|shall be|is the)[^.]*\."), 0),
-        F.regexp_extract_all(t, F.lit(r"(?i)[^.]*(?:shall|must|required|requires|require|mandatory)[^.]*\."), 0),
-    )
+    sentences = F.regexp_extract_all(t, F.lit("[^.]*[.]"), 0)
+    found = F.concat(F.filter(sentences, lambda s: s.rlike(DEFINES)), F.filter(sentences, lambda s: s.rlike(REQUIRES)))
     trimmed = F.transform(found, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     good = F.array_distinct(F.filter(trimmed, lambda s: (F.length(s) > 20) & (F.length(s) < 300)))
     return F.when(F.length(t) < 50, F.array().cast("array<string>")).otherwise(F.slice(good, 1, most))

@@ -21,7 +21,10 @@ GROUNDING_STOPWORDS = (
     "having do does did doing would could might must shall may this that these those i you he she it we they what which who whom doivent peuvent selon conformément "
     "applicable requis exigé nécessaire approprié adéquat suivant"
 ).split()
-NUMERIC = r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*(heures?|hours?|h|minutes?|min|jours?|days?|mois|months?|years?|kg|km|nm|m|ft|kts?|mph|landings?|cycles?|kN|mm|bar|kPa|Hz|dB|mA)(?![\p{L}\p{N}_])"
+NUMERIC = r"([0-9]+(?:[.,][0-9]+)?)\s*([\p{L}_][\p{L}\p{N}_]*)"
+# Units that make a number a claim.
+UNITS = r"^(heures?|hours?|h|minutes?|min|secondes?|seconds?|s|jours?|days?|mois|months?|ans?|years?|kg|kilogrammes?|kilograms?|lb|lbs|livres?|pounds?|km|kilomètres?|kilometers?|nm|m|mètres?|meters?|ft|feet|pieds?|kts?|knots?|noeuds?|mph|percent|degrés?|degrees?)$"
+CLAIM = r"(?:CS|AMC[0-9]?|GM[0-9]?)(?:-[A-Z]+)? [0-9]+\.[0-9]+"
 # The weights of the overall score.
 WEIGHTS = {"faithfulness": 0.25, "answer_relevance": 0.25, "context_precision": 0.15, "context_utilization": 0.15, "reference_accuracy": 0.10, "completeness": 0.10}
 
@@ -145,11 +148,12 @@ def grounding_tokens(text: Column | str) -> Column:
 def numeric_claims(text: Column | str) -> Column:
     """Numbers with a unit, as 'value unit'."""
     t = _c(text)
-    return F.zip_with(F.regexp_extract_all(t, F.lit(NUMERIC), 1), F.regexp_extract_all(t, F.lit(NUMERIC), 2), lambda v, u: F.concat_ws(" ", v, u))
+    both = F.arrays_zip(F.regexp_extract_all(t, F.lit(NUMERIC), 1).alias("v"), F.regexp_extract_all(t, F.lit(NUMERIC), 2).alias("u"))
+    return F.transform(F.filter(both, lambda z: F.lower(z["u"]).rlike(UNITS)), lambda z: F.concat_ws(" ", z["v"], z["u"]))
 
 
 def reference_claims(text: Column | str) -> Column:
-    return F.regexp_extract_all(_c(text), F.lit(r"(?:CS|AMC[0-9]?|GM[0-9]?)(?:-[A-Z]+)? [0-9]+\.[0-9]+"), 0)
+    return F.regexp_extract_all(_c(text), F.lit(CLAIM), 0)
 
 
 def claim_held(claim: Column, context: Column) -> Column:
