@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -70,11 +69,6 @@ def leaf(tokens: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join([str(size), *tokens[:DEPTH]])) - (1 << 63)
 
 
-def merge_template(a: list[str], b: list[str]) -> list[str]:
-    """Positions in which two messages of a leaf differ become wild; the longer one's tail stays wild."""
-    return [x if x == y else "*" for x, y in zip(a, b)]
-
-
 def has_slot(text: str) -> bool:
     """An unresolved slot where a value belongs, not one that the sentence speaks of or quotes as code."""
     for m in SLOT.finditer(text):
@@ -113,61 +107,41 @@ def verdict(message: str) -> str:
     return "content"
 
 
-def mine(df: DataFrame, id_col: str, text_col: str, least_chars: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(messages, templates). messages: id, slot, leaves, sizes of each text; templates: leaf, template, example, n, verdict.
+def mine(df: DataFrame, id_col: str, text_col: str, least_chars: int = 10) -> DataFrame:
+    """id, slot, leaves, sizes, seen of each text: its messages (lines and sentences) as leaves of the prefix tree.
 
-    Each task grows a prefix tree over its own messages (lines and sentences) and sends one row a leaf; the rows of a leaf are merged
-    and the template is judged once, on its least example.
+    Each task grows its tree as it reads; `seen` holds (leaf, example) where the text's message is the least that the task has met at
+    that leaf, so the least example of every template comes out of one reading of the texts.
     """
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: dict[int, str] = {}
         for b in batches:
-            slots, leaves, sizes = [], [], []
+            slots, leaves, sizes, seen = [], [], [], []
             for t, maybe in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 slots.append(bool(maybe) and has_slot(t))
-                parts = [p for p in MESSAGE.split(t) if p and not p.isspace()]
-                mine_, size_ = [], []
-                for p in parts:
-                    mine_.append(leaf(masked(p)))
-                    size_.append(len(p))
-                leaves.append(mine_)
-                sizes.append(size_)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(slots), pa.array(leaves, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["id", "slot", "leaves", "sizes"])
-
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: dict[int, list] = {}
-
-        def rows():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(tree), pa.int64()), pa.array([" ".join(v[0]) for v in tree.values()], pa.string()), pa.array([v[1] for v in tree.values()], pa.string()), pa.array([v[2] for v in tree.values()], pa.int64())],
-                names=["leaf", "template", "example", "n"],
-            )
-            tree.clear()
-            return out
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
+                own, size, new = [], [], []
                 for p in MESSAGE.split(t):
                     if not p or p.isspace():
                         continue
-                    tokens = masked(p)
-                    k = leaf(tokens)
-                    v = tree.get(k)
-                    if v is None:
-                        tree[k] = [tokens, p, 1]
-                    else:
-                        v[0] = merge_template(v[0], tokens)
-                        v[1] = min(v[1], p)
-                        v[2] += 1
-            if len(tree) > 200_000:
-                yield rows()
-        yield rows()
+                    k = leaf(masked(p))
+                    own.append(k)
+                    size.append(len(p))
+                    if (e := tree.get(k)) is None or p < e:
+                        tree[k] = p
+                        new.append({"leaf": k, "example": p})
+                leaves.append(own)
+                sizes.append(size)
+                seen.append(new)
+            if len(tree) > 500_000:  # only makes later examples come out again
+                tree.clear()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(slots), pa.array(leaves, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(seen, pa.list_(pa.struct([("leaf", pa.int64()), ("example", pa.string())])))],
+                names=["id", "slot", "leaves", "sizes", "seen"],
+            )
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") >= least_chars)
-    messages = src.select("id", "text", F.col("text").rlike(MAYBE_SLOT).alias("maybe")).mapInArrow(split, "id long, slot boolean, leaves array<long>, sizes array<int>")
-    grown = src.select("text").mapInArrow(grow, "leaf long, template string, example string, n long")
-    return messages, grown
+    return src.select("id", "text", F.col("text").rlike(MAYBE_SLOT).alias("maybe")).mapInArrow(run, "id long, slot boolean, leaves array<long>, sizes array<int>, seen array<struct<leaf: long, example: string>>")
 
 
 def residue_ids(df: DataFrame, id_col: str, text_col: str, least_chars: int = 10, most_content: float = 1.0) -> DataFrame:
@@ -177,14 +151,13 @@ def residue_ids(df: DataFrame, id_col: str, text_col: str, least_chars: int = 10
     Null texts and texts under least_chars are never residue; repeated rows count once; null ids are left out; an empty table gives an
     empty table; texts are read whole; other columns are not read.
     """
-    messages, grown = mine(df.where(F.col(id_col).isNotNull()), id_col, text_col, least_chars)
-    messages = materialize(messages, "messages")
+    messages = materialize(mine(df.where(F.col(id_col).isNotNull()), id_col, text_col, least_chars), "messages")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([verdict(x) for x in b.column(1).to_pylist()], pa.string())], names=["leaf", "verdict"])
 
-    templates = grown.groupBy("leaf").agg(F.min("example").alias("example"), F.sum("n").alias("n"))
+    templates = messages.select(F.explode("seen").alias("s")).groupBy("s.leaf").agg(F.min("s.example").alias("example"))
     judged = templates.select("leaf", "example").mapInArrow(judge, "leaf long, verdict string").where("verdict <> 'content'")
     judged = materialize(judged, "verdicts")
     each = messages.select("id", F.explode(F.arrays_zip("leaves", "sizes")).alias("m")).select("id", F.col("m.leaves").alias("leaf"), F.col("m.sizes").alias("size"))
