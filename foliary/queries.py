@@ -759,3 +759,43 @@ def cache_stats(spark, d):
 @query("select collection_name, entry_id, hit_count from (select *, row_number() over (partition by collection_name order by hit_count desc, entry_id) rn from cache_entries) where rn <= 10")
 def cache_top(spark, d):
     return cache.top_hits(table(spark, d, "cache_entries")).select("collection_name", "entry_id", "hit_count")
+
+
+# Chunking (sequential per text; tested against properties and small hand-made cases) ------------------------------------------------
+
+
+def _chunked(name, make):
+    def run(spark, d):
+        from foliary.operators import chunking
+
+        out = make(chunking, table(spark, d, "documents").withColumn("source", F.coalesce("source", F.lit(""))))
+        return out.select("id", "chunk_no", F.length("text").alias("size"), F.md5("text").alias("digest"), "kind")
+
+    run.__name__ = name
+    query()(run)
+
+
+_chunked("simple_chunk", lambda c, t: c.simple_chunks(t, "doc_id", "text"))
+_chunked("block_chunk", lambda c, t: c.block_chunks(t, "doc_id", "text"))
+_chunked("semantic_chunk", lambda c, t: c.semantic_chunks(t, "doc_id", "text"))
+_chunked("adaptive_chunk", lambda c, t: c.adaptive_chunks(t, "doc_id", "text"))
+_chunked("generic_chunk", lambda c, t: c.generic_chunks(t, "doc_id", "text", "source"))
+_chunked("parent_child_chunk", lambda c, t: c.parent_child_chunks(t, "doc_id", "text", "source"))
+
+
+@query()
+def section_chunk(spark, d):
+    from foliary.operators import chunking
+    from foliary.operators.sections import split_sections
+
+    s = split_sections(table(spark, d, "documents"), "doc_id", "text", HEADER)
+    out = chunking.section_chunks(s, "doc_id", "body", "section_id", "title")
+    return out.select("id", "chunk_no", F.length("text").alias("size"), F.md5("text").alias("digest"))
+
+
+@query()
+def parent_child_join(spark, d):
+    from foliary.operators import chunking
+
+    c = chunking.parent_child_chunks(table(spark, d, "documents").withColumn("source", F.col("doc_id").cast("string")), "doc_id", "text", "source")
+    return context.parents(materialize(c.select("chunk_id", "parent_id", "text"), "chunks")).select("child", "parent", F.md5("parent_text").alias("digest"))
