@@ -530,7 +530,7 @@ def ocr_confidence(spark, d):
 
 
 @query(
-    """with p as (select distinct document_id, page_number, text, confidence from ocr_pages) select document_id, count(*) total_pages, count(case when coalesce(text, '') <> '' then 1 end) processed_pages, round(coalesce(avg(case when confidence > 0 then confidence end), 0), 4) avg_confidence,
+    """with p as (select distinct document_id, page_number, text, confidence from ocr_pages) select document_id, count(*) total_pages, count(case when coalesce(text, '') <> '' then 1 end) processed_pages, round(coalesce(avg(case when confidence > 0 then confidence end), 0), 6) avg_confidence,
  md5(coalesce(string_agg(case when coalesce(text, '') <> '' then '--- Page ' || page_number || ' ---' || chr(10) || text end, chr(10) || chr(10) order by page_number), '')) digest from p group by 1"""
 )
 def ocr_document(spark, d):
@@ -538,7 +538,7 @@ def ocr_document(spark, d):
     full = F.coalesce("text", F.lit("")) != ""
     block = F.concat(F.lit("--- Page "), F.col("page_number").cast("string"), F.lit(" ---\n"), F.col("text"))
     out = p.groupBy("document_id").agg(
-        F.count("*").alias("total_pages"), F.count(F.when(full, 1)).alias("processed_pages"), F.round(F.coalesce(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)), 4).alias("avg_confidence"),
+        F.count("*").alias("total_pages"), F.count(F.when(full, 1)).alias("processed_pages"), F.round(F.coalesce(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)), 6).alias("avg_confidence"),
         F.array_sort(F.collect_list(F.when(full, F.struct("page_number", block.alias("b"))))).alias("x"),
     )
     return out.select("document_id", "total_pages", "processed_pages", "avg_confidence", F.md5(F.array_join(F.transform("x", lambda v: v["b"]), "\n\n")).alias("digest"))
