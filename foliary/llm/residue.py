@@ -98,7 +98,7 @@ def verdict(message: str) -> str:
         return "frame"
     if len(ws) >= 4 and not DIGIT.search(low) and low[-1:] in ".!?" and not FUNCTION_WORDS & set(ws):
         return "filler"
-    if len(ws) >= 6 and len(set(ws)) * 3 <= len(ws):
+    if len(ws) >= 6 and len(set(ws)) <= 3:
         return "filler"
     if not ws:
         return "filler" if len(low) >= 4 and len(set(low)) == 1 and low[0] not in "-=*#_~|+" else "frame"
