@@ -99,5 +99,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
 
 
+_STRETCHES = r"string_split(regexp_replace(regexp_replace(text, '[\r\n\f]', chr(1), 'g'), '([.!?;:])[ \t]', '\1' || chr(1), 'g'), chr(1))"
+_CUT = f"case when list_max(list_transform({_STRETCHES}, lambda s: length(trim(s, ' ' || chr(9))))) > 2000 then 'forced' else 'natural' end cut"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins; the other queries are tested against brute force, exact round trips or held-out cases instead."""
+    return {
+        "p5_found": f"select distinct 'extraction' item_kind, file_id item_id, {_CUT} from extractions where length(text) > 2000 union all select 'chunk', chunk_key, {_CUT} from chunks where length(text) > 2000",
+    }
