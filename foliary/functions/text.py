@@ -96,15 +96,11 @@ def refs_match(refs: Column, entities: Column) -> Column:
     return F.exists(refs, lambda r: F.exists(entities, lambda e: begins(r, e) | begins(e, r)))
 
 
-def technical_ratio(ws: Column, vocabulary: Column) -> Column:
-    return F.size(F.filter(ws, lambda w: F.array_contains(vocabulary, w))) / F.greatest(F.size(ws), F.lit(1))
-
-
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def density_score(text: Column | str, vocabulary: Column) -> Column:
+def density_score(text: Column | str, vocabulary: list[str]) -> Column:
     """How dense a text is, 0 to 1: technical words, numbers, lists, references, capitals, brackets and short sentences.
 
     Texts under 50 characters have 0.5.
@@ -115,7 +111,7 @@ def density_score(text: Column | str, vocabulary: Column) -> Column:
     size = F.greatest(F.length(t), F.lit(1))
     sentences = F.filter(F.transform(F.split(t, r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
     mean = F.aggregate(sentences, F.lit(0).cast("long"), lambda a, s: a + F.length(s)) / F.greatest(F.size(sentences), F.lit(1))
-    technical = F.size(F.filter(low_words, lambda w: F.array_contains(vocabulary, w))) / n
+    technical = F.size(F.filter(low_words, lambda w: w.isin(vocabulary))) / n
     numeric = (_count(t, r"[0-9]+(?:\.[0-9]+)?") + _count(t, r"[=<>≤≥±×÷∑∏√∫]") * 3) / size * 100
     lists = _count(t, r"(?m)^[ \t]*[-*•][ \t]+|\([ ]*[a-z0-9]+[ ]*\)|[0-9]+[.)][ ]+") / F.greatest(F.size(sentences), F.lit(1))
     refs = _count(t, REGULATION_REF) / n * 100

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
-from foliary.session import materialize
+from foliary.session import materialize, spread
 
 RRF_K = 60
 
@@ -80,8 +80,9 @@ def dense_top_k(questions: DataFrame, corpus: DataFrame, k: int = 10, by: list[s
 
 def postings(corpus: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """term, chunk_id, tf, len: the inverted index. Texts without tokens have a row with a null term, so that they count in the averages."""
-    tokens = corpus.select(F.col(id_col).alias("chunk_id"), T.index_tokens(text_col).alias("tokens"))
-    rows = tokens.select("chunk_id", F.size("tokens").cast("long").alias("len"), F.explode_outer("tokens").alias("term"))
+    # tokens and their number in one expression, so that they are made once
+    both = F.transform(F.array(T.index_tokens(text_col)), lambda t: F.when(F.size(t) == 0, F.array(F.struct(F.lit(0).alias("len"), F.lit(None).cast("string").alias("term")))).otherwise(F.transform(t, lambda w: F.struct(F.size(t).alias("len"), w.alias("term")))))
+    rows = corpus.select(F.col(id_col).alias("chunk_id"), F.explode(F.element_at(both, 1)).alias("x")).select("chunk_id", "x.term", F.col("x.len").cast("long").alias("len"))
     return rows.groupBy("chunk_id", "term").agg(F.count("term").alias("tf"), F.max("len").alias("len"))
 
 
@@ -107,7 +108,7 @@ def bm25(questions: DataFrame, index: DataFrame, k: int | None = 30, k1: float =
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     terms = asked.join(document_frequencies(index), "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean)))
-    met = index.where("term is not null").join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+    met = spread(index.where("term is not null")).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
     met = met.withColumn("score", F.round("score", 9))
     return ranked(met, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 

@@ -11,7 +11,7 @@ from foliary.functions import text as T
 from foliary.functions import vectors as V
 from foliary.operators import cache, context, evaluate, feedback, rerank, search, understand
 from foliary.plans import oracle as O
-from foliary.session import materialize
+from foliary.session import materialize, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,7 +51,7 @@ def vector_questions(spark, d):
 
 
 def chunk_corpus(spark, d):
-    return table(spark, d, "chunks").select(F.col("chunk_key").alias("chunk_id"), "text")
+    return spread(table(spark, d, "chunks").select(F.col("chunk_key").alias("chunk_id"), "text"))
 
 
 def text_questions(spark, d):
@@ -59,7 +59,7 @@ def text_questions(spark, d):
 
 
 def answered(spark, d):
-    return table(spark, d, "cache_entries").select(F.col("entry_id").alias("chunk_id"), F.col("question").alias("text"), F.col("question_embedding").alias("embedding"), F.col("collection_name").alias("collection"))
+    return spread(table(spark, d, "cache_entries").select(F.col("entry_id").alias("chunk_id"), F.col("question").alias("text"), F.col("question_embedding").alias("embedding"), F.col("collection_name").alias("collection")))
 
 
 def answered_questions(spark, d):
@@ -350,7 +350,7 @@ ANALYSE_SQL = (
  greatest(3, floor(10 * case when complexity = 'complex' then greatest(2.0::double, {_by_intent(understand.MULTIPLIERS, 1.0)}) else {_by_intent(understand.MULTIPLIERS, 1.0)} end)::int) top_k from c"""
 )
 def query_analysis(spark, d):
-    out = understand.analyse(feedback_rows(spark, d))
+    out = understand.analyse(spread(table(spark, d, "feedback").select("feedback_id", "question"))).dropDuplicates(["feedback_id"])
     return out.select("feedback_id", "intent", F.round("intent_score", 6).alias("intent_score"), "domain", "complexity", F.array_join("entities", "|").alias("entities"), "dense_weight", "top_k")
 
 
@@ -436,7 +436,7 @@ def feedback_boosts(spark, d):
 
 
 def answers(spark, d):
-    return table(spark, d, "cache_entries").select(
+    return spread(table(spark, d, "cache_entries").select("entry_id", "question", "answer", "context_str", "sources")).select(
         F.col("entry_id").alias("id"), "question", "answer", F.col("context_str").alias("context"), F.array("context_str").alias("texts"), F.coalesce(F.transform("sources", lambda s: s["source_file"]), F.array().cast("array<string>")).alias("files")
     )
 
@@ -545,9 +545,9 @@ def ocr_document(spark, d):
 
 
 def vocabulary(spark, d):
-    """The glossary's words (a fixed table of a few hundred rows) as an array literal."""
+    """The glossary's words (a fixed table of a few hundred rows)."""
     rows = table(spark, d, "glossary").select(F.explode(F.split(F.lower("term"), "[^a-zà-ÿ]+")).alias("w")).where("length(w) > 2").distinct().limit(10_000).collect()
-    return F.array(*[F.lit(r.w) for r in sorted(rows)])
+    return [r.w for r in sorted(rows)]
 
 
 _DW = O.words_like("t", "^[a-zà-ÿ]{2,}$")
@@ -564,7 +564,7 @@ DENSITY_SQL = f"""with v as (select list(distinct w) v from (select unnest(regex
 @query(DENSITY_SQL + " select chunk_key, round(s, 6) score, kind, greatest(600, least(2500, case kind when 'very_dense' then 800 when 'dense' then 1200 when 'normal' then 1500 else 2000 end))::int chunk_size from k")
 def content_density(spark, d):
     s = T.density_score("text", vocabulary(spark, d))
-    rows = table(spark, d, "chunks").select("chunk_key", "text", s.alias("s")).withColumn("kind", T.density_type("text", F.col("s")))
+    rows = spread(table(spark, d, "chunks").select("chunk_key", "text")).select("chunk_key", "text", s.alias("s")).withColumn("kind", T.density_type("text", F.col("s")))
     return rows.select("chunk_key", F.round("s", 6).alias("score"), "kind", T.adaptive_size(F.col("kind")).alias("chunk_size"))
 
 
@@ -594,7 +594,7 @@ def keywords_of(chunks: DataFrame, vocab, most: int = 10) -> DataFrame:
     refs = t.select("chunk_key", F.slice(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(T.REGULATION_REF), 0), F.upper))), 1, 3).alias("refs"))
     ws = t.select("chunk_key", F.posexplode(F.filter(T.words("text"), lambda w: w.rlike(r"^[a-zà-ÿ]{3,}$") & ~w.isin(T.CHUNK_STOPWORDS))).alias("pos", "w"))
     c = ws.groupBy("chunk_key", "w").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    score = F.round(F.col("n") * F.when(F.array_contains(vocab, F.col("w")), 2.0).otherwise(1.0) * F.when(F.length("w") > 8, 1.3).otherwise(1.0), 6)
+    score = F.round(F.col("n") * F.when(F.col("w").isin(vocab), 2.0).otherwise(1.0) * F.when(F.length("w") > 8, 1.3).otherwise(1.0), 6)
     r = c.withColumn("score", score).withColumn("r", F.row_number().over(Window.partitionBy("chunk_key").orderBy(F.desc("score"), "first")) - 1).where(F.col("r") < most)
     words = r.join(refs.select("chunk_key", F.size("refs").alias("k")), "chunk_key").where(F.col("r") < most - F.col("k")).select("chunk_key", (F.col("r") + F.col("k")).alias("rank"), F.col("w").alias("keyword"))
     return refs.select("chunk_key", F.posexplode("refs").alias("rank", "keyword")).unionByName(words)
@@ -609,7 +609,7 @@ def keywords_of(chunks: DataFrame, vocab, most: int = 10) -> DataFrame:
  select chunk_key, (generate_subscripts(refs, 1) - 1)::int rank, unnest(refs) keyword from rf union all select r.chunk_key, (r + len(refs))::int, w from r join rf using (chunk_key) where r < 10 - len(refs)"""
 )
 def chunk_keywords(spark, d):
-    return keywords_of(table(spark, d, "chunks"), vocabulary(spark, d)).select("chunk_key", "rank", "keyword")
+    return keywords_of(spread(table(spark, d, "chunks").select("chunk_key", "text")), vocabulary(spark, d)).select("chunk_key", "rank", "keyword")
 
 
 @query(
@@ -729,7 +729,7 @@ def get_by_ids(spark, d):
  b as (select *, row_number() over (partition by query_id order by d, entry_id) rn from m) select query_id, entry_id, round(1 - d / 2, 6) similarity from b where rn = 1 and round(1 - d / 2, 6) >= 0.95"""
 )
 def cache_lookup(spark, d):
-    e = table(spark, d, "cache_entries")
+    e = spread(table(spark, d, "cache_entries").select("entry_id", "collection_name", "question_embedding"))
     q = e.where("entry_id % 20 = 0").select(F.col("entry_id").alias("query_id"), "collection_name", F.col("question_embedding").alias("embedding"))
     others = e.where("entry_id % 20 <> 0")
     near = cache.lookup(q, others, least=-1.0)
@@ -768,7 +768,7 @@ def _chunked(name, make):
     def run(spark, d):
         from foliary.operators import chunking
 
-        out = make(chunking, table(spark, d, "documents").withColumn("source", F.coalesce("source", F.lit(""))))
+        out = make(chunking, spread(table(spark, d, "documents").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))))
         return out.select("id", "chunk_no", F.length("text").alias("size"), F.md5("text").alias("digest"), "kind")
 
     run.__name__ = name

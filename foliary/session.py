@@ -75,6 +75,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores (one small file, say) dealt out to all of them; larger inputs stay as they are.
+
+    Meant for plain scans before costly work on each row: only the columns selected so far travel.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def parts(spark: SparkSession) -> int:
+    """Parts for costly work after an exchange of little data, which would otherwise be drawn together into few."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def release(df: DataFrame) -> None:
     """Remove the files of a materialized table that nothing will read again."""
     if path := getattr(df, "_foliary_path", None):
