@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliary.session import spread
+
 LANGUAGES = ("en", "fr", "de", "es", "it")
 # Ways in which a label may name each language; anything else says nothing.
 SPELLINGS = {
@@ -149,7 +151,7 @@ def labelled_windows(df: DataFrame, text_col: str, label_col: str, most: int = 8
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32())], names=["w", "y"])
 
     src = df.select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("l")).where("t is not null and l is not null")
-    every = src.mapInArrow(run, "w binary, y int")
+    every = spread(src).mapInArrow(run, "w binary, y int")
     n = every.count()
     share = min(1.0, 1.1 * most / max(n, 1))
     drawn = every.where(F.pmod(F.xxhash64("w"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(most).toArrow()
@@ -208,7 +210,7 @@ def detect_languages(df: DataFrame, id_col: str, text_col: str, label_col: str,
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "label", "n_chars", "paragraph_no", "language", "confidence"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("text is not null")
-    return src.mapInArrow(run, "id long, label string, n_chars int, paragraph_no int, language string, confidence double")
+    return spread(src).mapInArrow(run, "id long, label string, n_chars int, paragraph_no int, language string, confidence double")
 
 
 def wrong_languages(found: DataFrame, least_chars: int = 50) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm.tokens import encode, encoding, rank_file
-from foliary.session import materialize
+from foliary.session import materialize, spread
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -86,7 +86,7 @@ def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048,
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(no.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "piece_no", "first_token", "n_tokens"])
 
     shape = f"id {kind}, piece_no int, first_token int, n_tokens int"
-    pieces = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(measure, shape)
+    pieces = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(measure, shape)
     pieces = materialize(pieces, "pieces")
     total = pieces.where(F.col("n_tokens") < capacity).agg(F.sum("n_tokens")).first()[0] or 0
     groups = max(1, -(-total // (capacity * windows_per_group)))

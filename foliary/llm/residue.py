@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.session import materialize
+from foliary.session import materialize, parts, spread
 
 MESSAGE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[^\w\s]")
@@ -141,7 +141,7 @@ def mine(df: DataFrame, id_col: str, text_col: str, least_chars: int = 10) -> Da
             )
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") >= least_chars)
-    return src.select("id", "text", F.col("text").rlike(MAYBE_SLOT).alias("maybe")).mapInArrow(run, "id long, slot boolean, leaves array<long>, sizes array<int>, seen array<struct<leaf: long, example: string>>")
+    return spread(src).select("id", "text", F.col("text").rlike(MAYBE_SLOT).alias("maybe")).mapInArrow(run, "id long, slot boolean, leaves array<long>, sizes array<int>, seen array<struct<leaf: long, example: string>>")
 
 
 def residue_ids(df: DataFrame, id_col: str, text_col: str, least_chars: int = 10, most_content: float = 1.0) -> DataFrame:
@@ -158,7 +158,7 @@ def residue_ids(df: DataFrame, id_col: str, text_col: str, least_chars: int = 10
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([verdict(x) for x in b.column(1).to_pylist()], pa.string())], names=["leaf", "verdict"])
 
     templates = messages.select(F.explode("seen").alias("s")).groupBy("s.leaf").agg(F.min("s.example").alias("example"))
-    judged = templates.select("leaf", "example").mapInArrow(judge, "leaf long, verdict string").where("verdict <> 'content'")
+    judged = templates.select("leaf", "example").repartition(parts(df.sparkSession)).mapInArrow(judge, "leaf long, verdict string").where("verdict <> 'content'")
     judged = materialize(judged, "verdicts")
     each = messages.select("id", F.explode(F.arrays_zip("leaves", "sizes")).alias("m")).select("id", F.col("m.leaves").alias("leaf"), F.col("m.sizes").alias("size"))
     each = each.groupBy("id", "leaf").agg(F.sum("size").alias("size"))

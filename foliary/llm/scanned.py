@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.session import materialize
+from foliary.session import materialize, parts, spread
 
 MARKS = "-‐‑­¬"
 #: Letters, with the signs that stand for letters in misread words.
@@ -440,7 +440,7 @@ def _layout(pages: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["doc", "zone", "key", "page"])
 
-    seen = pages.mapInArrow(edges, "doc long, zone string, key string, page int").distinct()
+    seen = spread(pages).mapInArrow(edges, "doc long, zone string, key string, page int").distinct()
     count = seen.groupBy("doc", "zone", "key").agg(F.count("*").alias("n"))
     size = pages.groupBy("doc").agg(F.count("*").alias("pages"))
     often = count.join(size, "doc").where((F.col("n") >= 2) & (F.col("n") >= 0.2 * F.col("pages")))
@@ -475,7 +475,7 @@ def word_counts(pages: DataFrame, least_share: float = 2e-6) -> dict[str, int]:
                 c.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
 
-    each = materialize(pages.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    each = materialize(spread(pages.select("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = each.agg(F.sum("n")).first()[0] or 0
     rows = each.where(F.col("n") >= max(1, least_share * total)).toArrow()
     return dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist()))
@@ -529,7 +529,7 @@ def read_scans(df: DataFrame, document: str = "document_id", page: str = "page_n
     """
     pages = materialize(_pages(df, document, page, text), "pages")
     reader = Reader.teach(word_counts(pages))
-    return _with_context(pages, _layout(pages)).mapInArrow(_read_pages(reader), "doc long, page int, line_no array<int>, defect array<string>, body string, open_end boolean")
+    return _with_context(pages, _layout(pages)).repartition(parts(df.sparkSession)).mapInArrow(_read_pages(reader), "doc long, page int, line_no array<int>, defect array<string>, body string, open_end boolean")
 
 
 def scan_defects(df: DataFrame, document: str = "document_id", page: str = "page_number", text: str = "text") -> DataFrame:

@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliary.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 SKETCH = 128  # bits, one from each of so many minima
 
@@ -168,7 +170,7 @@ def signature_table(df: DataFrame, id_col: str, text_col: str, plan: ForestPlan)
             )
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    return src.mapInArrow(run, "id long, print binary, s1 long, s2 long, keys array<long>")
+    return spread(src).mapInArrow(run, "id long, print binary, s1 long, s2 long, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliary.session import spread
+
 BLANK = " \t\r\n\f"
 #: Line ends and form feeds, and a space or tab directly after a sentence or clause mark, with the white space around them.
 BOUNDARY = re.compile(r"[ \t\r\n\f]*(?:[\r\n\f]|(?<=[.!?;:])[ \t])[ \t\r\n\f]*")
@@ -132,4 +134,4 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, plan: SplitPlan = Spl
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "piece_no", "start", "end", "text", "n_chars", "forced"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > (0 if whole else plan.limit))
-    return src.mapInArrow(run, "id long, piece_no int, start int, end int, text string, n_chars int, forced boolean")
+    return spread(src).mapInArrow(run, "id long, piece_no int, start int, end int, text string, n_chars int, forced boolean")

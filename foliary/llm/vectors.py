@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliary.session import materialize
+from foliary.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -146,7 +146,7 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> Data
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)).filter(pa.array(good)), data], names=["id", "vec"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and v is not null")
-    return src.mapInArrow(run, "id long, vec binary").dropDuplicates(["id", "vec"])
+    return spread(src).mapInArrow(run, "id long, vec binary").dropDuplicates(["id", "vec"])
 
 
 def _matrix(column, dim: int) -> np.ndarray:
