@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,20 @@ def local_session(cores: int | str = 8, name: str = "foliary", memory: str = "8g
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, in case it is not on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_foliary_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="foliary-code-")) / "foliary_package.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(target))
+    sc._foliary_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
