@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliary.llm.signatures import ForestPlan, shared_bits, signature_table, verified
+from foliary.llm.signatures import SKETCH, ForestPlan, shared_bits, signature_table, verified
 from foliary.session import materialize, remove_path, scratch_path
 
 SHARDS = 64
@@ -57,10 +57,11 @@ class HashForest:
         for r in range(old):
             remove_path(self.spark, f"{self.path}/run-{r:05d}")
 
-    def probe(self, signed: DataFrame) -> DataFrame:
+    def probe(self, signed: DataFrame, most: int | None = None) -> DataFrame:
         """a (id of the batch), b (id of the history), bits: entries that share a shortest prefix and pass the sketch test.
 
-        For every pair the sketch bits they share are given, so that the likeliest can be verified first.
+        With most, a batch entry yields only its likeliest partners of each row group, and a row with a null b where it has more: those
+        entries can be probed again without it. bits (sketch bits shared) tells the likeliest.
         """
         if not self.runs:
             return self.spark.createDataFrame([], "a long, b long, bits int")
@@ -95,9 +96,24 @@ class HashForest:
                             q = np.repeat(np.arange(i + u, i + u + len(m)), m)
                             h = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(left[u : u + step], m)
                             bits = shared_bits(s1[q], t1[h], s2[q], t2[h])
-                            good = bits >= least
-                            if good.any():
-                                yield pa.RecordBatch.from_arrays([pa.array(ident[q[good]]), pa.array(there[h[good]]), pa.array(bits[good].astype(np.int32))], names=["a", "b", "bits"])
+                            good = np.flatnonzero(bits >= least)
+                            if not len(good):
+                                continue
+                            good = good[np.lexsort((h[good], -bits[good], q[good]))]
+                            over = np.empty(0, np.int64)
+                            if most is not None:
+                                first = np.maximum.accumulate(np.where(np.diff(q[good], prepend=-1) != 0, np.arange(len(good)), 0))
+                                rank = np.arange(len(good)) - first
+                                over = ident[np.unique(q[good[rank >= most]])]
+                                good = good[rank < most]
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array(np.concatenate([ident[q[good]], over])),
+                                    pa.array(np.concatenate([there[h[good]], 0 * over]), mask=np.arange(len(good) + len(over)) >= len(good)),
+                                    pa.array(np.concatenate([bits[good], 0 * over]).astype(np.int32)),
+                                ],
+                                names=["a", "b", "bits"],
+                            )
 
         entries = signed.select(F.explode("keys").alias("key"), "s1", "s2", "id")
         ranged = entries.repartition(F.shiftright("key", 58)).sortWithinPartitions("key")
@@ -119,6 +135,33 @@ def _two_step_known(found: DataFrame, texts: DataFrame, threshold: float, first:
     return hit.union(verified(rest, texts, threshold).select("a").distinct())
 
 
+def _known_to(forest: HashForest, signed: DataFrame, texts: DataFrame, threshold: float, most: int = 16) -> DataFrame:
+    """a with a verified partner in the forest; entries with very many candidates see all of them only if the likeliest fail."""
+    found = materialize(forest.probe(signed, most), "probed")
+    hit = materialize(_two_step_known(found.where("b is not null"), texts, threshold), "near")
+    rest = found.where("b is null").select("a").distinct().join(hit, "a", "left_anti").select(F.col("a").alias("id"))
+    if rest.isEmpty():
+        return hit
+    return hit.union(_two_step_known(forest.probe(signed.join(rest, "id", "left_semi")), texts, threshold))
+
+
+def _crowd_repeats(signed: DataFrame, order: DataFrame, texts: DataFrame, plan: ForestPlan, crowd: int = 64) -> DataFrame | None:
+    """ids that are repeats of the first entry of a crowded prefix, where that entry is the first under all its prefixes and so free.
+
+    A family of very many near copies is settled by its first member this way, before any of its pairs are made. None without crowds.
+    """
+    entries = signed.select(F.explode("keys").alias("key"), "s1", "s2", "id").join(order.select("id", "place"), "id")
+    entries = materialize(entries, "crowd")
+    heads = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("place", "id", "s1", "s2")).alias("h")).select("key", "n", F.col("h.id").alias("head"), F.col("h.s1").alias("t1"), F.col("h.s2").alias("t2"))
+    large = materialize(heads.where(F.col("n") > crowd), "heads")
+    if large.isEmpty():
+        return None
+    free = entries.join(heads.select("key", "head"), "key").groupBy("id").agg(F.min((F.col("id") == F.col("head")).cast("int")).alias("free")).where("free = 1").select(F.col("id").alias("head"))
+    near = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= SKETCH - plan.least_bits
+    pairs = entries.join(large.join(free, "head", "left_semi"), "key").where(F.col("id") != F.col("head")).where(near).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    return materialize(verified(pairs, texts, plan.threshold).select(F.col("a").alias("id")).distinct(), "crowded")
+
+
 def settle(order: DataFrame, links: DataFrame, known: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """ids that are repeats: known ones, and those linked to an earlier id that isn't itself a repeat.
 
@@ -178,13 +221,17 @@ def known_incoming(history: DataFrame, incoming: DataFrame, history_id: str, inc
     same = firsts.join(copies.distinct(), "print", "left_semi").select(F.col("first").alias("id")) if copies is not None else None
     open_signs = materialize(signs.join(same, "id", "left_anti") if same is not None else signs, "open")
     texts = old.union(new.select("uid", "text")).withColumnRenamed("uid", "id")
-    hit = _two_step_known(forest.probe(open_signs), texts, plan.threshold).select(F.col("a").alias("id"))
+    hit = _known_to(forest, open_signs, texts, plan.threshold).select(F.col("a").alias("id"))
     known = materialize(hit.union(same) if same is not None else hit, "known")
-    own = HashForest(spark, plan=plan)
+    order = firsts.select(F.col("first").alias("id"), "place")
     still = materialize(open_signs.join(known, "id", "left_anti"), "still")
+    if (crowded := _crowd_repeats(still, order, texts, plan)) is not None:
+        still = materialize(still.join(crowded, "id", "left_anti"), "still")
+        known = materialize(known.union(crowded), "known")
+    own = HashForest(spark, plan=plan)
     own.append(still)
     among = own.probe(still).where("a < b").select("a", "b")
     links = materialize(verified(among, texts.join(still.select("id"), "id", "left_semi"), plan.threshold).select("a", "b"), "links")
-    repeats = settle(firsts.select(F.col("first").alias("id"), "place"), links, known)
+    repeats = settle(order, links, known)
     later = rows.join(firsts.select("print", "first"), "print").where("id <> first").select("id")
     return repeats.union(later).distinct().select(F.shiftright("id", 1).alias(incoming_id))

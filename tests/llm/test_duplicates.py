@@ -105,3 +105,30 @@ def test_forest_append_and_merge_give_the_same(spark, tmp_path):
     two.merge()
     assert find(two) == want
     assert HashForest(spark, f"file://{tmp_path}/none", plan).probe(signed).count() == 0
+
+
+def test_crowded_family_is_settled_by_its_first(spark):
+    """More near copies than a crowd holds, in the batch alone and against a crowded history."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+
+    def copy():
+        ws = list(base)
+        for _ in range(3):
+            ws[r.randrange(60)] = f"e{r.randrange(10_000)}"
+        return " ".join(ws)
+
+    family = [(i, i % 3, copy()) for i in range(150)]
+    other = [(1000 + i, 0, " ".join(f"o{i}x{j}" for j in range(30))) for i in range(5)]
+    new = spark.createDataFrame(family + other, "id long, batch int, text string")
+    none = spark.createDataFrame([], "id long, text string")
+    got = {x.id for x in known_incoming(none, new, "id", "id", "batch").collect()}
+    kept, want = [], set()
+    for b, i, t in sorted((b, i, t) for i, b, t in family + other):
+        if any(likeness(t, o) >= 0.75 for o in kept):
+            want.add(i)
+        else:
+            kept.append(t)
+    assert got == want
+    old = spark.createDataFrame([(i, copy()) for i in range(120)], "id long, text string")
+    assert {x.id for x in known_incoming(old, new, "id", "id", "batch").collect()} == {i for i, _, _ in family}
