@@ -261,3 +261,30 @@ def safe_url(url: Column | str) -> Column:
     scheme = F.lower(F.coalesce(F.try_parse_url(u, F.lit("PROTOCOL")), F.lit("")))
     private = host.rlike(r"^(?:localhost|.*\.local|.*\.internal|0\.0\.0\.0|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(?:1[6-9]|2[0-9]|3[01])\..*|\[.*\])$")
     return F.coalesce(scheme.isin("http", "https") & (host != "") & ~private, F.lit(False))
+
+
+# Letters with marks and what they lose.
+ACCENTS = ("àâäáãéèêëíìîïóòôöõúùûüçñÀÂÄÁÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑ", "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN")
+
+
+def collection_name(name: Column | str, most: int = 50) -> Column:
+    """Letters without marks, digits and underscores only, lower case, at most `most` characters."""
+    plain = F.translate(F.coalesce(_c(name), F.lit("")), *ACCENTS)
+    return F.substring(F.regexp_replace(F.lower(F.regexp_replace(plain, r"[^A-Za-z0-9]+", "_")), r"^_+|_+$", ""), 1, most)
+
+
+def chunk_id(source: Column | str, section: Column | str, number: Column | str) -> Column:
+    """file_section_number, or file_semantic_number without a section."""
+    safe = F.substring(F.regexp_replace(F.coalesce(_c(section), F.lit("semantic")), r"[^A-Za-z0-9.()\-]+", "_"), 1, 50)
+    return F.concat_ws("_", _c(source), safe, _c(number).cast("string"))
+
+
+def table_text(rows: Column) -> Column:
+    """An array of rows (arrays of cells) as a text table: cells padded to their column's width, a rule after the first row."""
+    clean = F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))))
+    columns = F.sequence(F.lit(1), F.greatest(F.lit(1), F.array_max(F.transform(clean, lambda r: F.size(r)))))
+    cell = lambda r, i: F.coalesce(F.get(r, i - 1), F.lit(""))
+    width = lambda i: F.greatest(F.lit(1), F.array_max(F.transform(clean, lambda r: F.length(cell(r, i)))))
+    lines = F.transform(clean, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(columns, lambda i: F.rpad(cell(r, i), width(i), " ")), " | "), F.lit(" |")))
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(columns, lambda i: F.repeat(F.lit("-"), width(i))), " | "), F.lit(" |"))
+    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.lit(0), F.size(lines) - 1))), "\n")).otherwise("")

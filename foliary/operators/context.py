@@ -58,3 +58,16 @@ def provenance(sources: DataFrame, by: str = "query_id") -> DataFrame:
     block = F.concat(head, F.lit("\n"), F.coalesce("text", F.lit("")))
     rows = sources.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("b"))
     return rows.select(by, F.array_join(F.transform("b", lambda x: x["block"]), "\n\n---\n\n").alias("context"))
+
+
+def related_chunks(chunks: DataFrame, id_col: str, text_col: str, section_col: str, most: int = 5) -> DataFrame:
+    """src, dst, rank: up to `most` other chunks (least ids first) that are a section src refers to, or refer to one that src refers to.
+
+    Of the chunks behind one reference only the first most + 1 can matter, so a reference that everybody makes pairs nothing with everything.
+    """
+    edges = reference_edges(chunks, id_col, text_col).select("src", "ref")
+    own = chunks.select(F.col(id_col).alias("dst"), F.explode(F.transform(T.section_refs(section_col), F.upper)).alias("ref"))
+    behind = own.union(edges.select(F.col("src").alias("dst"), "ref")).distinct()
+    first = behind.withColumn("n", F.row_number().over(Window.partitionBy("ref").orderBy("dst"))).where(F.col("n") <= most + 1)
+    met = edges.join(first.select("dst", "ref"), "ref").where("src <> dst").select("src", "dst").distinct()
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).where(F.col("rank") < most)

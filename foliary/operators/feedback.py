@@ -84,3 +84,25 @@ def rerank_boosts(similar: DataFrame, feedback: DataFrame, step: float = 0.1, mo
     f = feedback.select(F.col("feedback_id").alias("other_id"), positive().alias("good"))
     rows = similar.where(F.col("rank") < most).join(f, "other_id")
     return rows.groupBy("query_id").agg(F.round(F.sum(F.when(F.col("good"), step).otherwise(-step) * F.col("similarity")), 6).alias("boost"))
+
+
+def export_rows(feedback: DataFrame) -> DataFrame:
+    """Rows for a semicolon-separated export: polarity resolved and shown as a thumb; line ends in texts made spaces."""
+    flat = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n;]+", " ")
+    return feedback.select(
+        "feedback_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"), F.coalesce("user_name", F.lit("")).alias("user_name"), "collection_name",
+        flat("question").alias("question"), F.when(positive(), "👍").otherwise("👎").alias("rating"), flat("suggested_answer").alias("suggested"),
+    )
+
+
+def export_csv(feedback: DataFrame, path: str) -> None:
+    export_rows(feedback).write.mode("overwrite").option("sep", ";").option("header", "true").csv(path)
+
+
+def append(feedback: DataFrame, path: str) -> None:
+    feedback.write.mode("append").parquet(path)
+
+
+def without(feedback: DataFrame, ids: DataFrame) -> DataFrame:
+    """feedback less the rows whose feedback_id is listed."""
+    return feedback.join(ids.select("feedback_id").distinct(), "feedback_id", "left_anti")

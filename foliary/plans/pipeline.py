@@ -66,3 +66,26 @@ def ask_collections(questions: DataFrame, corpus: DataFrame, k: int = 10) -> Dat
     merged = search.federated_fuse(found, k)
     full = corpus.withColumn("key", F.concat_ws("::", "collection", F.col("chunk_id").cast("string"))).drop("embedding", "collection")
     return context.provenance(merged.where(F.col("rank") < k).join(full, "key"))
+
+
+def hyde(questions: DataFrame, corpus: DataFrame, hypothetical: DataFrame, k: int = 10, embedder: Embedder | None = None) -> DataFrame:
+    """Results for a question and for a hypothetical answer to it (over 50 characters), merged: what both find rises.
+
+    questions: query_id, question; hypothetical: query_id, text; corpus: chunk_id, text, embedding and path.
+    """
+    from foliary.functions import vectors as V
+
+    e = embedder or hash_embedder()
+    asked = questions.select("query_id", F.col("question").alias("text"))
+    good = hypothetical.where(F.length("text") > 50).select("query_id", "text")
+    found = None
+    for part in (asked, good):
+        near = search.dense_top_k(embed(part, "text", e, "query"), corpus, k).select("query_id", "chunk_id", F.round(V.score("distance"), 9).alias("score"))
+        found = near if found is None else found.union(near)
+    return search.merge_results(found.withColumn("path", F.lit(None).cast("string")).withColumn("text", F.lit("")), k)
+
+
+def parsed_variations(replies: DataFrame, most: int = 3) -> DataFrame:
+    """query_id, variant_no, variant: lines over ten characters that do not begin with a digit of a generator's reply, after the question itself."""
+    lines = F.slice(F.filter(F.transform(F.split("reply", "\n"), lambda s: F.trim(s)), lambda s: (F.length(s) > 10) & ~s.rlike("^[0-9]")), 1, most)
+    return replies.select("query_id", F.posexplode(F.concat(F.array("question"), lines)).alias("variant_no", "variant"))

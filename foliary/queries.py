@@ -799,3 +799,42 @@ def parent_child_join(spark, d):
 
     c = chunking.parent_child_chunks(table(spark, d, "documents").withColumn("source", F.col("doc_id").cast("string")), "doc_id", "text", "source")
     return context.parents(materialize(c.select("chunk_id", "parent_id", "text"), "chunks")).select("child", "parent", F.md5("parent_text").alias("digest"))
+
+
+# More tables ------------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with e as (select chunk_key src, unnest({O.refers_to("text")}) ref from chunks), b as (select chunk_key dst, upper(unnest({O.section_refs("section_id")})) ref from chunks union select src, ref from e),
+ m as (select distinct e.src, b.dst from e join b using (ref) where e.src <> b.dst), r as (select *, row_number() over (partition by src order by dst) - 1 rnk from m) select src, dst, rnk::int rank from r where rnk < 5"""
+)
+def related_chunks(spark, d):
+    return context.related_chunks(table(spark, d, "chunks"), "chunk_key", "text", "section_id")
+
+
+@query(
+    FB
+    + """ select feedback_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') created, coalesce(user_name, '') user_name, collection_name, regexp_replace(coalesce(question, ''), '[\\r\\n;]+', ' ', 'g') question, case when good then '👍' else '👎' end rating, regexp_replace(coalesce(suggested_answer, ''), '[\\r\\n;]+', ' ', 'g') suggested from p"""
+)
+def feedback_export(spark, d):
+    return feedback.export_rows(feedback_rows(spark, d))
+
+
+@query("select distinct group_name, left(regexp_replace(lower(regexp_replace(strip_accents(coalesce(group_name, '')), '[^A-Za-z0-9]+', '_', 'g')), '^_+|_+$', '', 'g'), 50) safe from extractions")
+def collection_names(spark, d):
+    return table(spark, d, "extractions").select("group_name", T.collection_name("group_name").alias("safe")).distinct()
+
+
+@query("select chunk_key, concat_ws('_', source_file, left(regexp_replace(coalesce(section_id, 'semantic'), '[^A-Za-z0-9.()\\-]+', '_', 'g'), 50), chunk_index::varchar) made from chunks")
+def chunk_ids(spark, d):
+    return table(spark, d, "chunks").select("chunk_key", T.chunk_id("source_file", "section_id", "chunk_index").alias("made"))
+
+
+@query(
+    """select coalesce("method", '') "method", count(*) files, count(case when coalesce(text, '') <> '' and error is null then 1 end) extracted, count(case when error is not null then 1 end) failed, sum(length(coalesce(text, '')))::bigint chars
+ from (select distinct file_id, "method", text, error from extractions) group by 1"""
+)
+def pipeline_stats(spark, d):
+    e = table(spark, d, "extractions").select("file_id", "method", "text", "error").distinct()
+    got = (F.coalesce("text", F.lit("")) != "") & F.col("error").isNull()
+    return e.groupBy(F.coalesce("method", F.lit("")).alias("method")).agg(F.count("*").alias("files"), F.count(F.when(got, 1)).alias("extracted"), F.count("error").alias("failed"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))

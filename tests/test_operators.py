@@ -150,3 +150,19 @@ def test_append_and_delete(spark, tmp_path):
     tables.rebuild_collections(c.where("id = 1"), p)
     assert spark.read.parquet(p).count() == 2
     assert tables.delete_collection(spark, p, "b", "c") == 1 and spark.read.parquet(p).count() == 1
+
+
+def test_table_text_and_urls(spark):
+    df = spark.createDataFrame([([["a", "bb"], ["ccc", None]],)], "rows array<array<string>>")
+    assert df.select(T.table_text(F.col("rows")).alias("t")).first().t == "| a   | bb |\n| --- | -- |\n| ccc |    |"
+    u = spark.createDataFrame([("https://example.org/a", True), ("http://localhost/x", False), ("ftp://example.org", False), ("http://10.1.2.3/", False), (None, False), ("nonsense", False)], "u string, want boolean")
+    assert all(r.ok == r.want for r in u.select("want", T.safe_url("u").alias("ok")).collect())
+
+
+def test_hyde_and_variations(spark):
+    corpus = embed(spark.createDataFrame([(1, "the pump is tested"), (2, "the valve leaks")], "chunk_id long, text string"), "text", hash_embedder())
+    q = spark.createDataFrame([(1, "pump test")], "query_id long, question string")
+    h = spark.createDataFrame([(1, "the pump is tested by the crew after every landing of the aircraft")], "query_id long, text string")
+    assert pipeline.hyde(q, corpus, h, 2).orderBy("rank").first().key == "1"
+    r = spark.createDataFrame([(1, "q", "short\n1. a numbered line here\nhow is the pump tested\n")], "query_id long, question string, reply string")
+    assert [x.variant for x in pipeline.parsed_variations(r).orderBy("variant_no").collect()] == ["q", "how is the pump tested"]
