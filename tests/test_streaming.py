@@ -20,3 +20,19 @@ def test_trend_stream(spark, tmp_path):
     q = jobs.trend_stream(spark.readStream.schema(f.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("trend").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((str(r.day), r.total, r.positive) for r in spark.table("trend").collect()) == [("2025-01-01", 2, 1), ("2025-01-02", 1, 1)]
+
+
+def test_cache_stream_counts_hits(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = spark.createDataFrame([("c", "q", 1.0), ("c", "q", 2.0), ("c", "r", 3.0)], "collection_name string, question string, created_epoch double")
+        rows.write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        q = jobs.cache_stream(stream).writeStream.format("memory").queryName("hits").outputMode("update").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert {(r.question, r.hits) for r in spark.table("hits").collect()} == {("q", 1), ("r", 0)}
+    finally:
+        spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
