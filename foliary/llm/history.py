@@ -150,16 +150,30 @@ def _crowd_repeats(signed: DataFrame, order: DataFrame, texts: DataFrame, plan:
 
     A family of very many near copies is settled by its first member this way, before any of its pairs are made. None without crowds.
     """
-    entries = signed.select(F.explode("keys").alias("key"), "s1", "s2", "id").join(order.select("id", "place"), "id")
-    entries = materialize(entries, "crowd")
-    heads = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("place", "id", "s1", "s2")).alias("h")).select("key", "n", F.col("h.id").alias("head"), F.col("h.s1").alias("t1"), F.col("h.s2").alias("t2"))
-    large = materialize(heads.where(F.col("n") > crowd), "heads")
-    if large.isEmpty():
+    few = 200_000  # rows of two or three numbers: what may be broadcast
+    keys = signed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
+    keys = materialize(keys, "crowded")
+    n_keys = keys.count()
+    if not n_keys:
         return None
-    free = entries.join(heads.select("key", "head"), "key").groupBy("id").agg(F.min((F.col("id") == F.col("head")).cast("int")).alias("free")).where("free = 1").select(F.col("id").alias("head"))
+
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= few else df
+
+    placed = signed.join(order.select("id", "place"), "id").select("keys", "s1", "s2", "id", "place")
+    entries = placed.select(F.explode("keys").alias("key"), "s1", "s2", "id", "place")
+    inside = materialize(entries.join(small(keys, n_keys), "key", "left_semi"), "crowd")
+    heads = materialize(inside.groupBy("key").agg(F.min(F.struct("place", "id", "s1", "s2")).alias("h")).select("key", F.col("h.id").alias("head"), F.col("h.place").alias("first"), F.col("h.s1").alias("t1"), F.col("h.s2").alias("t2")), "heads")
+    names = heads.select(F.col("head").alias("id"), "first").distinct()
+    own = signed.join(small(names, n_keys), "id").select(F.explode("keys").alias("key"), F.col("id").alias("head"), "first")
+    behind = entries.select("key", "place").join(small(own, n_keys * plan.trees), "key").where(F.col("place") < F.col("first")).select("head").distinct()
+    free = heads.join(behind, "head", "left_anti")
     near = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= SKETCH - plan.least_bits
-    pairs = entries.join(large.join(free, "head", "left_semi"), "key").where(F.col("id") != F.col("head")).where(near).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    return materialize(verified(pairs, texts, plan.threshold).select(F.col("a").alias("id")).distinct(), "crowded")
+    pairs = inside.join(small(free, n_keys), "key").where(F.col("id") != F.col("head")).where(near).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return None
+    return materialize(verified(pairs, texts.join(signed.select("id"), "id", "left_semi"), plan.threshold).select(F.col("a").alias("id")).distinct(), "settled")
 
 
 def settle(order: DataFrame, links: DataFrame, known: DataFrame, most_rounds: int = 10_000) -> DataFrame:
