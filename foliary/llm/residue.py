@@ -46,8 +46,19 @@ FILLER = re.compile(
     ))
 )
 FRAME = re.compile(r"^(?:error|erreur|fehler|errore|warning|!+|loading\W*|chargement\W*|cargando\W*|caricamento\W*|(?:trace|request id|ref|reference|code|id)\b[ :#].*|back to \w+|retour\b.{0,20}|zurück\b.{0,20}|volver\b.{0,20}|torna\b.{0,20}|at [\w.$<>]+\(.*\)|[^›»>]{1,30}[›>] .{1,60}|<[^>]*>)$")
-#: Words with which a sentence speaks of slots instead of holding one.
-SPEAKS = re.compile(r"(?i)\b(?:marks?|marques?|marken?|marcas?|marchi|marcatur\w+|segn\w+posto|fields?|champs?|feld(?:er)?|campos?|campi|platzhalter|placeholders?|replaces?|remplacent?|ersetzt|ersetzen|sustituye|sostituisce)\b")
+# Fixed values, in the five languages: how a sentence speaks of a slot instead of holding it. The words govern the slot: they stand directly before it
+# (a noun for marks, a verb of leaving whose subject is who writes, a verb of replacing with a value for its second object) or after it (a noun for marks only).
+_NOUN = r"(?:marks?|markers?|placeholders?|marques?|marken?|markierung(?:en)?|platzhaltern?|marcas?|marcador(?:es)?|marchi|marcatur[ae]|segn[ai]posto)"
+_FIELD = r"(?:(?:the|a|any|le|les|un|des|das|die|dem|ein|kein|el|los|il|i)\s+(?:fields?|champs?|feld(?:er)?|campos?|campo|campi))"
+_LIKE = r"(?:such as|like|called|named|comme|tel(?:le)?s? que|wie|namens|como|tales como|come|quali)"
+GOVERNED = re.compile(
+    rf"""(?ix)(?:\b(?:{_NOUN}|{_FIELD})(?:,?\s+{_LIKE.replace(" ", chr(92) + "s")})?
+    |\b(?:writers?|authors?|editors?|rédact\w+|auteurs?|verfasser\w*|autor\w*|redakt\w+|redact\w+|redatt\w+)\b[^,;:]{{0,40}}\s(?:leave|leaves|laiss\w+|lassen|lässt|dej\w+|lasci\w+))\s*[:(]?\s*["'“„«]?\s*$"""
+)
+REPLACED = re.compile(r"(?i)\b(?:replaces?|remplacent?|ersetzt|ersetzen|sustituyen?|reemplazan?|sostituisc(?:e|ono))\s*[\"'“„«]?\s*$")
+VALUE_AFTER = re.compile(r"(?i)^[\"'”“»]?\s*(?:with|by|par|durch|por|con)\s+(?:the|its|a|la|sa|une|den|einen|el|su|un|il)?\s*(?:\w+\s+)?(?:values?|valeurs?|werte?s?|valor(?:es)?|valor[ei])\b")
+MARK_AFTER = re.compile(r"(?i)^[\"'”“»]?\s*(?:(?:is|are|est|ist|es|è)\s+(?:(?:only|just)\s+)?(?:a|an|un|une|ein)\s+)?(?:placeholders?|platzhalter|segn[ai]posto)\b")
+AND = re.compile(r"(?i)\s*(?:,|\b(?:or|and|ou|et|oder|und|o|y|e)\b)\s*")
 SLOT = re.compile(
     r"""\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}|<%[^<>\n]{1,60}%>|[$\#]\{[^{}\n]{1,60}\}|\{[A-Za-z][\w.]{1,40}\}|\[\[[^\[\]\n]{1,60}\]\]|<<[^<>\n]{1,60}>>|«[\w.]{2,40}»|@@[^@\s]{1,40}@@|\$\$[^$\s]{1,40}\$\$|(?<![^\W_])__[^\W_][\w.]{0,40}?__(?![^\W_])|%[^\W\d_][\w.]{1,40}%
     |<[A-Z][A-Z_ ]{1,40}>|<[a-z]+_[a-z_]+>|&lt;[^&<>\n]{1,40}&gt;|\bXX/XX/X{2,4}\b|\[(?:[A-ZÀ-Ü]{2,}|[ÀÉ])(?:[ :]+[A-ZÀ-Ü]{2,})+\]|\[(?:your|votre|ihre?|su|il tuo)\b[^\[\]\n]{1,40}\]|\[(?:insert|enter|add|fill in|saisir|insérer|compléter|einfügen|eintragen|insertar|rellenar|inserire)\b[^\[\]\n]{0,40}\]|(?<!_)_{5,}(?!_)|\b(?:TBD|TBC|TODO|FIXME)\b""",
@@ -71,15 +82,17 @@ def leaf(tokens: list[str]) -> int:
 
 def has_slot(text: str) -> bool:
     """An unresolved slot where a value belongs, not one that the sentence speaks of or quotes as code."""
+    spoken = -1  # end of the last slot spoken of
     for m in SLOT.finditer(text):
         a, b = m.span()
         if text[a - 1 : a] == "`" or text[b : b + 1] == "`":
             continue
         start = max(text.rfind(c, max(0, a - 300), a) for c in ".\n!?") + 1
-        ends = [e for e in (text.find(c, b, b + 300) for c in ".\n!?") if e >= 0]
-        sentence = text[start:a] + text[b : min(ends, default=min(len(text), b + 300))]
-        if not SPEAKS.search(sentence):
-            return True
+        before, after = text[max(start, a - 300) : a], text[b : b + 60]
+        if (spoken >= 0 and AND.fullmatch(text, spoken, a)) or GOVERNED.search(before) or (REPLACED.search(before) and VALUE_AFTER.search(after)) or MARK_AFTER.search(after):
+            spoken = b
+            continue
+        return True
     return False
 
 

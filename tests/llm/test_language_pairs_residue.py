@@ -53,6 +53,12 @@ def test_slots():
     assert not any(map(has_slot, ["the field `{{effective_date}}` is", "Writers must not leave marks such as [INSERT DATE] in it.", "range {min, max} and [i]", "[ ] to do", "<|endoftext|> x", "« une citation » et 5 %", "[illisible]", "a <b>bold</b> word"]))
 
 
+def test_slots_beside_words_of_speaking():
+    held = ["%VALUE1% Leck wurde gefunden, worauf das geschirmte Relais ersetzt wurde.", "The crew replaces {{part_no}} with a new valve.", "Field tests took {{limit_max}} days.", "Il campo è chiuso dopo [[limit_max]] ore.", "Leave {{valve_no}} open; the marks are red.", "Il remplace le joint, pièce <<part_no>>, du champ avant."]
+    spoken = ["Les rédacteurs ne laissent jamais de marque [À COMPLÉTER] dans un bulletin diffusé.", "No marks such as [INSERT DATE], [FILL IN NAME] or {{title}} are left.", "The tool replaces {{part_no}} with the stored value.", "Das Werkzeug ersetzt {{part_no}} durch den gespeicherten Wert.", "Writers must not leave [INSERT DATE] in it.", "Platzhalter wie {{ref}} sind verboten.", "{{ref}} is a placeholder."]
+    assert [x for x in held if not has_slot(x)] == [] and [x for x in spoken if has_slot(x)] == []
+
+
 def test_verdicts():
     want = {
         "Error 404 – the page you asked for was not found": "error", "Votre session a expiré, reconnectez-vous": "error", "Please enable JavaScript to view this page.": "script", "Body text placeholder.": "filler",
