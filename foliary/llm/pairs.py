@@ -83,10 +83,23 @@ class Tagger:
         self.net, self.field = net, field or ChainField.fresh(len(TAGS))
 
     def languages(self, texts: list[str]) -> np.ndarray:
-        """Log probabilities of the languages of short texts, one window each."""
+        """Log probabilities of the languages of texts, over all windows of each."""
         if not texts:
             return np.empty((0, len(LANGUAGES)))
-        return self.net.log_probs(np.concatenate([windows(" ".join(WORD.findall(t)) if len(t) < 400 else t)[:1] for t in texts]))
+        out = np.empty((len(texts), len(LANGUAGES)), dtype=np.float32)
+        start = 0
+        while start < len(texts):  # in bounded batches of windows
+            wins, n = [], 0
+            while start + len(wins) < len(texts) and n < 65_536:
+                t = texts[start + len(wins)]
+                wins.append(windows(" ".join(WORD.findall(t)) if len(t) < 400 else t))
+                n += len(wins[-1])
+            logs = self.net.log_probs(np.concatenate(wins))
+            size = np.array([len(w) for w in wins])
+            each = np.add.reduceat(logs, np.cumsum(size) - size, axis=0) / size[:, None] ** 0.5  # successive windows are alike, so they count as fewer
+            out[start : start + len(wins)] = each - np.logaddexp.reduce(each, axis=1, keepdims=True)
+            start += len(wins)
+        return out
 
     def features(self, question: str, parts: list[str], q_lang: np.ndarray, langs: np.ndarray) -> list[np.ndarray]:
         asked = Counter(WORD.findall(question.lower()))
@@ -112,7 +125,7 @@ class Tagger:
             if last and end == "open" and not (item and measured):
                 f += ["hangs"]
             plain = [w for w in low if w.isalpha() and w not in asked]
-            f += [f"w={w}" for w in set(plain[:30])] + [f"b={a} {b}" for a, b in zip(plain[:29], plain[1:30])]
+            f += [f"w={w}" for w in set(plain)] + [f"b={a} {b}" for a, b in zip(plain, plain[1:])]
             out.append(feature_ids(f))
         return out
 

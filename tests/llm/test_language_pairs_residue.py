@@ -1,6 +1,9 @@
 import random
 
-from foliary.llm.language import detect_languages, named_language, paragraphs, wrong_languages
+import numpy as np
+
+from foliary.llm.crf import feature_ids
+from foliary.llm.language import LANGUAGES, detect_languages, named_language, paragraphs, wrong_languages
 from foliary.llm.pairs import Tagger, clauses, defective_pairs, says_nothing
 from foliary.llm.residue import has_slot, residue_ids, verdict, without_residue
 
@@ -48,6 +51,17 @@ def test_pair_defects(spark, net):
     assert len(clauses("One. Two!\n- a\n- b")) == 4
 
 
+def test_long_clauses_are_read_to_their_end(net):
+    tagger = Tagger(net)
+    long_fr = f"{EN} " + FR[:-1].replace(".", ",") * 6
+    langs = tagger.languages([EN, FR, long_fr, f"{FR} " + EN[:-1] * 6, "pump"])
+    assert langs.shape == (5, 5) and np.allclose(np.exp(langs).sum(axis=1), 1, atol=1e-4)
+    assert [LANGUAGES[k] for k in langs.argmax(axis=1)][:4] == ["en", "fr", "fr", "en"]
+    start = " ".join(f"word{chr(97 + i)}" for i in range(24)) + " and so on through many other words, until "
+    a, b = (tagger.features("What is it?", [start + x], langs[0], langs[:1])[0] for x in ("it works.", "i must decline to comment."))
+    assert set(feature_ids(["w=decline", "b=must decline"])) <= set(b) and not set(feature_ids(["w=decline"])) & set(a)
+
+
 def test_slots():
     assert all(map(has_slot, ["value {{ part_no }} kg", "by <TITLE> bolts", "%LIMIT_MAX% N", "[INSERT DATE] was", "__REF__ x", "@@A@@", "«author.name» x", "XX/XX/XXXX", "${x_y}", "due &lt;date&gt;"]))
     assert not any(map(has_slot, ["the field `{{effective_date}}` is", "Writers must not leave marks such as [INSERT DATE] in it.", "range {min, max} and [i]", "[ ] to do", "<|endoftext|> x", "« une citation » et 5 %", "[illisible]", "a <b>bold</b> word"]))
