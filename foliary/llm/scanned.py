@@ -28,6 +28,7 @@ SHAPES = (("cl", "d"), ("ii", "u"), ("rn", "m"), ("m", "rn"), ("m", "in"), ("in"
 SIGNS = "@|$€0123456789"
 ZONE = 3
 LEAST_KEY = 7  # characters of a running head
+LEAST_WORD, LEAST_COMPOUND = 5, 3  # occurrences that make a word, or a hyphenated compound, one of the lexicon, whatever the size of the collection
 
 
 def head_key(line: str) -> str:
@@ -184,13 +185,14 @@ class Reader:
         """Fit on the words of the pages themselves.
 
         A rare word one misreading away from a far more common one gives a confusion of characters; the confusions that recur are
-        then laid over the common words to make the training pairs, with the common words themselves as examples to keep.
+        then laid over the common words to make the training pairs, with the common words themselves as examples to keep. At most
+        most_pairs pairs train; the lexicon has all words.
         """
         r = random.Random(seed)
         plain = {w: n for w, n in counts.items() if w.isalpha()}
         alphabet = "".join(sorted({c for w in plain for c in w if c.isalpha() and c.islower()}))
         order = sorted(counts, key=lambda w: (-counts[w], w))
-        common = {w for w, n in plain.items() if n >= 5}
+        common = {w for w, n in plain.items() if n >= LEAST_WORD}
         confused: Counter = Counter()
         bad: set[str] = set()
         mined: list[tuple[str, list[str]]] = []
@@ -200,7 +202,7 @@ class Reader:
             n, best = counts[w], None
             for other, at, seen, meant in neighbours(w, alphabet):
                 m = plain.get(other, 0)
-                if m >= 5 and n <= share * m and (best is None or m > best[0]):
+                if m >= LEAST_WORD and n <= share * m and (best is None or m > best[0]):
                     best = (m, other, at, seen, meant)
             if best:
                 _, other, at, seen, meant = best
@@ -215,8 +217,9 @@ class Reader:
         by_meant: dict[str, list[tuple[str, str]]] = defaultdict(list)
         for (seen, meant), n in usual:
             by_meant[meant] += [(seen, meant)] * min(n, 20)
-        pairs = [(w, ["keep"] * len(w)) for w in good]
-        pairs += [(w, ops) for w, ops in mined if w in bad]
+        drawn = lambda rows, most: rows if len(rows) <= most else r.sample(rows, most)
+        pairs = [(w, ["keep"] * len(w)) for w in drawn(good, most_pairs // 2)]
+        pairs += drawn([(w, ops) for w, ops in mined if w in bad], most_pairs // 4)
         spots = [m for m in by_meant]
         while good and spots and len(pairs) < min(most_pairs, 12 * len(good) + 200):
             w = r.choice(good)
@@ -233,7 +236,7 @@ class Reader:
                 pairs.append((w, ["keep"] * len(w)))
                 continue
             pairs.append((noisy, edits_of(noisy, w, i, seen, m)))
-        kept = {w: counts[w] for w in good} | {w: n for w, n in counts.items() if "-" in w and n >= 3}
+        kept = {w: counts[w] for w in good} | {w: n for w, n in counts.items() if "-" in w and n >= LEAST_COMPOUND}
         heads = frozenset(w[:k] for w in good for k in range(1, len(w)))
         tails = frozenset(w[k:] for w in good for k in range(1, len(w)))
         return cls(kept, Editor().fit(pairs), heads, tails)
@@ -449,10 +452,11 @@ def _layout(pages: DataFrame) -> DataFrame:
     return often.groupBy("doc").agg(F.array_distinct(heads).alias("heads"), F.array_distinct(offsets).alias("offsets"))
 
 
-def word_counts(pages: DataFrame, least_share: float = 2e-6) -> dict[str, int]:
+def word_counts(pages: DataFrame, most_rare: int = 200_000) -> dict[str, int]:
     """Counts of the words within lines over all pages (ends of lines may be cut, so they stay out), and of hyphenated compounds.
 
-    Words of at least least_share of all words are kept: at most 1 / least_share of them, whatever the size of the collection.
+    Every word and compound that occurs often enough for the lexicon is kept, whatever the size of the collection. Rarer ones only train
+    the editor (as misread forms), so at most most_rare of them are drawn, by a hash of the word.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,8 +480,10 @@ def word_counts(pages: DataFrame, least_share: float = 2e-6) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
 
     each = materialize(spread(pages.select("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = each.agg(F.sum("n")).first()[0] or 0
-    rows = each.where(F.col("n") >= max(1, least_share * total)).toArrow()
+    enough = (F.col("n") >= LEAST_WORD) | F.col("word").contains("-") & (F.col("n") >= LEAST_COMPOUND)
+    rare = each.where(~enough)
+    share = int(1_000_000 * min(1.0, most_rare / max(rare.count(), 1)))
+    rows = each.where(enough | (F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < share)).toArrow()
     return dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist()))
 
 
@@ -523,7 +529,7 @@ def _read_pages(reader: Reader):
 def read_scans(df: DataFrame, document: str = "document_id", page: str = "page_number", text: str = "text") -> DataFrame:
     """doc, page, line_no (array), defect (array), body, open_end of every page with a text.
 
-    The editor is trained on the pages' own words (counts over all pages; a bounded lexicon). Pages repeated exactly count once (of
+    The editor is trained on the pages' own words (counts over all pages; the lexicon has every word of enough occurrences). Pages repeated exactly count once (of
     differing deliveries of one page the greater text is taken); null texts give no row; empty pages give empty arrays; null ids are
     left out; an empty table gives an empty table. Other columns are not read.
     """

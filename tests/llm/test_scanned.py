@@ -1,6 +1,6 @@
 import random
 
-from foliary.llm.scanned import PageReader, Reader, furniture, head_key, page_values, read_scans, repaired_documents, scan_defects
+from foliary.llm.scanned import PageReader, Reader, furniture, head_key, page_values, read_scans, repaired_documents, scan_defects, word_counts
 
 WORDS = "the pump must be tested before first flight and valve is replaced after each landing by crew operator load-bearing low-pressure hydraulic component inspection interval recorded card".split()
 
@@ -56,3 +56,14 @@ def test_page_numbers_and_heads():
     assert head_key("MANUAL X  Rev 3   17") == head_key("Manual X rev 4  18")
     lines = ["Manual X", "a body line", "another", "more", "7"]
     assert furniture(lines, 7, ["manual x"], [0]) == {0: "running_head", 4: "page_number"}
+
+
+def test_lexicon_keeps_the_same_words_at_every_size(spark):
+    line = "x " + "the pump valve crew " * 2000 + "y"
+    rows = [("\n".join([line] * 8),)] * 60 + [("x torquemeter y\nx cross-feed y\nx onceonly y",)] * 5
+    counts = word_counts(spark.createDataFrame(rows, "text string"))
+    assert counts["pump"] == 60 * 8 * 2000 and counts["torquemeter"] == counts["cross-feed"] == 5
+    lexicon = Reader.teach(counts).counts
+    assert {"torquemeter", "cross-feed", "pump"} <= set(lexicon)
+    few = word_counts(spark.createDataFrame([(f"x rare{chr(97 + i)}{chr(97 + j)} y",) for i in range(26) for j in range(26)] + [("x pump y",)] * 5, "text string"), most_rare=50)
+    assert few["pump"] == 5 and 10 < len(few) < 120
