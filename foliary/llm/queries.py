@@ -32,9 +32,9 @@ def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    from foliary.llm.vectors import nearest_vectors
+    from foliary.llm.vectors import CLOSE, nearest_vectors
 
-    near = nearest_vectors(_table(spark, d, "cache_entries"), "entry_id", "question_embedding", k=5, least_cosine=0.9)
+    near = nearest_vectors(_table(spark, d, "cache_entries"), "entry_id", "question_embedding", k=5, least_cosine=0.9, plan=CLOSE)
     return near.select(F.least("a", "b").alias("entry_id_a"), F.greatest("a", "b").alias("entry_id_b")).distinct()
 
 

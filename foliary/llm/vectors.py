@@ -20,7 +20,7 @@ class ListPlan:
     rows_per_list sets the number of lists (at most most_lists); the lists are fitted on a sample of per_list rows for each,
     at most most_sampled in all (the bound on what reaches the driver), and every row is indexed. A vector is stored in up to
     `copies` lists whose centroids are within copy_ratio of its nearest one's distance, and searched in up to `probes` lists within
-    probe_ratio.
+    probe_ratio. The defaults are for the nearest at any cosine; CLOSE is enough where only neighbours at cosine 0.90 or more are wanted.
     """
 
     rows_per_list: int = 128
@@ -29,14 +29,17 @@ class ListPlan:
     most_sampled: int = 131_072
     copies: int = 2
     copy_ratio: float = 1.1
-    probes: int = 6
-    probe_ratio: float = 1.15
+    probes: int = 64
+    probe_ratio: float = 2.0
     degree: int = 12
     beam: int = 12
     entries: int = 16
     rows_per_unit: int = 4_096
 
 
+CLOSE = ListPlan(probes=6, probe_ratio=1.15)
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
     """Cluster numbers of unit vectors by spherical k-means."""
     c = x[rng.choice(len(x), k, replace=False)]

@@ -19,6 +19,16 @@ def test_recall_and_exact_cosines(spark):
     assert all(abs(g.cosine - s[g.a, g.b]) < 1e-5 for g in got)
 
 
+def test_recall_of_far_neighbours_at_the_defaults(spark):
+    x = np.random.default_rng(6).standard_normal((4000, 64)).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i, r in enumerate(np.argpartition(-s, 4, axis=1)[:, :5]) for j in r}
+    got = nearest_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SHAPE), "id", "v").collect()
+    assert len({(g.a, g.b) for g in got} & want) / len(want) >= 0.9
+
+
 def test_bad_rows_copies_and_empty(spark):
     one, two = [1.0] + [0.0] * 63, [1.0, 0.1] + [0.0] * 62
     rows = [(i, one, 0) for i in range(9)] + [(1, one, 0), (20, two, 0), (30, None, 0), (31, [0.0] * 64, 0), (32, [float("nan")] * 64, 0), (33, [1.0], 0), (None, one, 0), (34, [2.0 * x for x in one], 0)]
