@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import random
 import re
 from collections import Counter
@@ -22,6 +23,7 @@ WORD = re.compile(r"[^\W_]+")
 CLAUSE = re.compile(r"(?<=[.!?…])[\"»”)\]]*\s+|(?<=:)\s*\n+|\n+")
 ITEM = re.compile(r"^\s*(?:[-•*–]|\d+[.)]|\[.?\])\s+")
 MEASURED = re.compile(r",\s*\d[\d.,]*\s*[^\W\d_°%·/]{0,3}[°%·/]?[^\W\d_]{1,4}$")
+CODE_TOKEN = re.compile(r"[\W_]*(?:[A-Z]{1,5}(?:-[A-Z])?\d?|\d[\w.()/-]*|[A-Z]{1,4}-\d[\w-]*)[\W_]*")
 MARKUP = re.compile(r"<[^>]{0,80}>|&[a-z]+;|[^\w]+|_+")
 # Bare labels and words for nothing, after markup and punctuation are taken away.
 NOTHING = set(
@@ -63,6 +65,11 @@ def says_nothing(text: str | None) -> bool:
     return all(w in NOTHING for w in MARKUP.sub(" ", text.lower()).split())
 
 
+def bare_code(clause: str) -> bool:
+    """A line of nothing but a reference."""
+    return len(clause) < 40 and any(map(str.isdigit, clause)) and all(map(CODE_TOKEN.fullmatch, clause.split()))
+
+
 def clauses(text: str) -> list[str]:
     return [c for c in CLAUSE.split(text.strip()) if c.strip()]
 
@@ -102,30 +109,43 @@ class Tagger:
         return out
 
     def features(self, question: str, parts: list[str], q_lang: np.ndarray, langs: np.ndarray) -> list[np.ndarray]:
+        """Feature numbers of each clause: what it shares with the question, its language and that of the answer as a whole against the
+        question's, how it ends, and its words (also together with the language of the question, which tells a foreign word)."""
         asked = Counter(WORD.findall(question.lower()))
         total, home, out = max(1, sum(asked.values())), int(q_lang.argmax()), []
-        echoed = Counter()
+        whole, q_share = np.maximum(langs, -6).sum(axis=0), np.exp(2 * np.maximum(q_lang, -3))
+        agrees = lambda logs: float(q_share @ np.exp(logs - np.logaddexp.reduce(logs)) / q_share.sum())
+        whole_same = agrees(whole)
+        lettered = sum(c.isalpha() for p in parts for c in p)
+        near = lambda p: "home" if p > 0.5 else "unsure" if p > 0.1 else "away" if p > 0.01 else "far"
+        answered = "short" if lettered < 12 else f"{min(2, lettered // 40)}-{near(whole_same)}"
         for i, c in enumerate(parts):
             low = WORD.findall(c.lower())
             mine = Counter(low)
             common = sum(min(n, asked[w]) for w, n in mine.items())
             inside = common / max(1, len(low))
-            echoed.update({w: min(n, asked[w]) for w, n in mine.items()})
             last, item = i == len(parts) - 1, bool(ITEM.match(c))
             letters = sum(map(str.isalpha, c))
             tail = c.rstrip()
-            end = "stop" if tail[-1:] in ".!?" else "close" if tail[-1:] in "\"»”)]" else "colon" if tail[-1:] in ":;," else "mark" if not tail[-1:].isalnum() else "open"
+            if tail.endswith(("…", "..")):
+                end = "dots"
+            else:
+                end = "stop" if tail[-1:] in ".!?" else "close" if tail[-1:] in "\"»”)]" else "colon" if tail[-1:] in ":;," else "mark" if not tail[-1:].isalnum() else "open"
+            code = bare_code(tail) and not item
             measured = bool(MEASURED.search(tail))
-            same = np.exp(langs[i][home])
-            tongue = "short" if letters < 12 else f"{min(3, letters // 12)}-{'home' if same > 0.5 else 'unsure' if same > 0.1 else 'away' if same > 0.01 else 'far'}"
-            f = ["bias", f"in{int(inside * 5)}", f"covers{int(min(1, common / total) * 5)}", f"in{int(inside * 5)}&covers{int(min(1, common / total) * 5)}", f"tongue{tongue}", f"item{item}", f"first{i == 0}", f"only{len(parts) == 1}"]
-            f += [f"last{last}&end{end}", f"last{last}&end{end}&item{item}&measured{measured}", f"words{min(4, len(low) // 4)}", f"asks{'?' in c}", f"alone{len(parts) == 1}&in{int(inside * 5)}"]
+            tongue = "short" if letters < 12 else f"{min(3, letters // 12)}-{near(agrees(langs[i]))}"
+            covers = int(min(1, common / total) * 5)
+            f = ["bias", f"in{int(inside * 5)}", f"covers{covers}", f"in{int(inside * 5)}&covers{covers}", f"tongue{tongue}", f"answered{answered}", f"tongue{tongue}&answered{answered}", f"item{item}", f"first{i == 0}", f"only{len(parts) == 1}"]
+            f += [f"last{last}&end{end}&code{code}", f"last{last}&end{end}&item{item}&measured{measured}", f"words{min(4, len(low) // 4)}", f"asks{'?' in c}", f"alone{len(parts) == 1}&in{int(inside * 5)}"]
             if not last:
                 f += ["inner"]
-            if last and end == "open" and not (item and measured):
-                f += ["hangs"]
+            else:
+                if end == "open" and not code and not (item and measured):
+                    f += ["hangs"]
+                shape = re.sub(r"\d+", "#", " ".join(tail.split()[-2:]))
+                f += [f"code{code}&end{end}", f"ends{item}&{shape.split(' ')[-1] if item else shape if re.search('[A-Z]', shape) else ''}"]
             plain = [w for w in low if w.isalpha() and w not in asked]
-            f += [f"w={w}" for w in set(plain)] + [f"b={a} {b}" for a, b in zip(plain, plain[1:])]
+            f += [f"w={w}" for w in set(plain)] + [f"{home}:{w}" for w in set(plain)] + [f"b={a} {b}" for a, b in zip(plain, plain[1:])]
             out.append(feature_ids(f))
         return out
 
@@ -135,9 +155,10 @@ class Tagger:
         A first fit tags the given pairs themselves; those it finds defective are left out of the second.
         """
         r = random.Random(seed)
+        self.adapt(pairs)
         for turn in range(2):
             self.field = ChainField.fresh(len(TAGS))
-            made = self._examples(pairs, r)
+            made = self._examples(pairs if turn else pairs[::2], r)
             langs = self.languages([x for _, parts, _ in made for x in parts])
             q_langs = self.languages([q for q, _, _ in made])
             data, at = [], 0
@@ -150,6 +171,26 @@ class Tagger:
                 pairs = [p for p, d in zip(pairs, found) if d is None] or pairs
         return self
 
+    def adapt(self, pairs: list[tuple[str, str]], steps: int = 300) -> None:
+        """Fit the network further to these texts. Nearly all answers are in the question's language, so what both sides together say is a
+        label for each; pairs whose sides contradict one another teach nothing."""
+        given = [(q, a) for q, a in pairs if q.strip() and not says_nothing(a)]
+        if len(given) < 50:
+            return
+        q, a = self.languages([x for x, _ in given]), self.languages([x for _, x in given])
+        both = np.maximum(q, -6) + np.maximum(a, -6)
+        both -= np.logaddexp.reduce(both, axis=1, keepdims=True)
+        lang, rows = both.argmax(axis=1), np.arange(len(both))
+        good = (both[rows, lang] > np.log(0.7)) & (np.minimum(q, a)[rows, lang] > np.log(0.02))
+        seen, kept = np.bincount(lang, minlength=len(LANGUAGES)), np.bincount(lang[good], minlength=len(LANGUAGES))
+        if any(3 * k < n for n, k in zip(seen, kept) if n >= 0.02 * len(given)):  # a language of these texts would be unlearnt
+            return
+        good = np.flatnonzero(good)
+        wins = [(windows(" ".join(WORD.findall(t)) if len(t) < 400 else t)[:3], lang[i]) for i in good for t in (*given[i], given[i][1][:60])]
+        if wins:
+            x, y = np.concatenate([w for w, _ in wins]), np.concatenate([np.full(len(w), k) for w, k in wins])
+            self.net = copy.deepcopy(self.net).fit(x, y, rounds=max(1, round(steps * 64 / len(y))), rate=2e-3)
+
     def _examples(self, pairs, r) -> list[tuple[str, list[str], list[int]]]:
         a, ref, ech, fo, un = range(5)
         langs = [LANGUAGES[int(x.argmax())] for x in self.languages([q for q, _ in pairs])]
@@ -171,15 +212,22 @@ class Tagger:
                 if answer.rstrip()[-1:] in ".!?":
                     out.append((q, parts, [fo] * len(parts)))
                 continue
-            whole = answer.rstrip()[-1:] in ".!?»" or bool(ITEM.match(parts[-1]) and MEASURED.search(parts[-1].rstrip()))
+            coded = len(parts) > 1 and parts[-2].rstrip()[-1:] in ".!?»" and bare_code(parts[-1])
+            whole = answer.rstrip()[-1:] in ".!?»" and answer.rstrip()[-2:] != ".." or bool(ITEM.match(parts[-1]) and MEASURED.search(parts[-1].rstrip())) or bool(coded)
             if whole:
                 out.append((q, parts, [a] * len(parts)))
+                short = parts[: r.randint(1, len(parts))]
+                if len(short) < len(parts) and r.random() < 0.3 and short[-1].rstrip()[-1:] in ".!?":  # an answer that ends earlier, at a sentence's end, is whole
+                    out.append((q, short, [a] * len(short)))
             kind = r.random()
             if kind < 0.3 and whole and len(answer) > 30:
-                cut = answer[: r.randint(12, len(answer) - 2)]
+                at = r.randint(12, len(answer) - 2)
+                cut, beyond = answer[:at], answer[at]
                 bits = clauses(cut)
-                if cut.rstrip()[-1:] not in ".!?" and bits and not re.search(r"\d\s?[^\W\d_]+$", cut):
-                    out.append((q, bits, [a] * (len(bits) - 1) + [un]))
+                inside = beyond.isalnum() if cut.rstrip()[-1:] in ".!?" else beyond not in "\n\r" and not cut.endswith("\n")  # within a word, number, sentence or item
+                if bits and inside and not bare_code(bits[-1]) and len(bits[-1].strip()) > 2:
+                    dots = r.choice(["…", "...", " …", " ..."]) if r.random() < 0.2 else ""
+                    out.append((q, [*bits[:-1], bits[-1].rstrip() + dots] if dots else bits, [a] * (len(bits) - 1) + [un]))
             elif kind < 0.5:
                 word = r.choice(ASKED[lang].split("|")) + " "
                 said = q.split()
@@ -242,13 +290,15 @@ def _repeats(question: str, parts: list[str]) -> bool:
     return 2 * sum((asked & said).values()) >= max(1, sum(asked.values()))
 
 
-def sample_pairs(df: DataFrame, id_col: str, question: str, answer: str, most: int) -> list[tuple[str, str]]:
-    """At most `most` pairs with both sides given, drawn by a hash of the id: the bounded training sample."""
-    rows = df.where(F.col(question).isNotNull() & F.col(answer).isNotNull()).select(F.col(id_col).alias("i"), question, answer)
-    n = rows.count()
-    share = int(1_000_000 * min(1.0, 1.1 * most / max(n, 1)))
-    drawn = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share).limit(most).toArrow()
-    return sorted(zip(drawn[question].to_pylist(), drawn[answer].to_pylist()))
+def sample_pairs(df: DataFrame, question: str, answers: list[str], most: int) -> list[tuple[str, str]]:
+    """At most `most` different pairs with both sides given, of all answer columns: the bounded training sample. Pairs are drawn by their
+    hash and put in its order, so the sample follows from the rows alone, however they are parted."""
+    pair = F.explode(F.array(*[F.struct(F.col(question).alias("q"), F.col(a).alias("a")) for a in answers]))
+    rows = df.select(pair.alias("p")).select("p.q", "p.a").where("q is not null and a is not null").withColumn("h", F.xxhash64("q", "a"))
+    share = int(1_000_000 * min(1.0, 1.1 * most / max(rows.count(), 1)))
+    drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < share).distinct().toArrow()
+    found = sorted(zip(*(drawn[c].to_pylist() for c in ("h", "q", "a"))))[:most]
+    return [(q, a) for _, q, a in found]
 
 
 def defective_pairs(df: DataFrame, id_col: str, question: str, answers: list[str], tagger: Tagger, required: tuple[str, ...] = ()) -> DataFrame:

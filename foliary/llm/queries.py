@@ -59,9 +59,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from foliary.llm.pairs import Tagger, defective_pairs, sample_pairs
 
     feedback = _table(spark, d, "feedback")
-    tagger = Tagger(train(*labelled_windows(_table(spark, d, "extractions"), "text", "language")))
-    tagger.teach(sample_pairs(feedback, "feedback_id", "question", "answer_text", most=3000))
-    return defective_pairs(feedback, "feedback_id", "question", ["answer_text", "suggested_answer"], tagger, required=("answer_text",))
+    sample = labelled_windows(_table(spark, d, "extractions"), "text", "language")
+    answers = ["answer_text", "suggested_answer"]
+    tagger = Tagger(train(sample.x, sample.y)).teach(sample_pairs(feedback, "question", answers, most=3000))
+    return defective_pairs(feedback, "feedback_id", "question", answers, tagger, required=("answer_text",))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,8 +3,8 @@ import random
 import numpy as np
 
 from foliary.llm.crf import feature_ids
-from foliary.llm.language import LANGUAGES, detect_languages, named_language, paragraphs, wrong_languages
-from foliary.llm.pairs import Tagger, clauses, defective_pairs, says_nothing
+from foliary.llm.language import LANGUAGES, cautions, detect_languages, label_language, labelled_windows, named_language, paragraphs, train, wrong_languages
+from foliary.llm.pairs import Tagger, bare_code, clauses, defective_pairs, sample_pairs, says_nothing
 from foliary.llm.residue import has_slot, residue_ids, verdict, without_residue
 
 EN = "The pump must be tested before the first flight and the valve is replaced after each landing by the crew."
@@ -25,6 +25,38 @@ def test_languages(spark, net):
     assert wrong_languages(detect_languages(df.limit(0), "id", "text", "lang", net)).count() == 0
 
 
+def test_label_expression_equals_the_function(spark):
+    labels = ["EN", "en_US", "français", "deu", "unk", None, "", "??", " Italian ", "es-ES", "xx-en"]
+    df = spark.createDataFrame([(x,) for x in labels], "l string")
+    assert [r[0] for r in df.select(label_language(df.l)).collect()] == [named_language(x) for x in labels]
+
+
+def test_windows_looked_up_equal_the_products(net):
+    from foliary.llm.language import windows
+
+    x = np.concatenate([windows(t) for t in (EN, FR, EN * 20, "é", "")])
+    h, _ = net.pooled(x)
+    z = np.maximum(h, 0) @ net.out + net.out_bias
+    assert np.allclose(net.log_probs(x), z - np.logaddexp.reduce(z, axis=1, keepdims=True), atol=1e-4)
+
+
+def test_samples_do_not_depend_on_the_partitions(spark, data):
+    texts, asked = spark.read.parquet(f"{data}/extractions.parquet"), spark.read.parquet(f"{data}/feedback.parquet")
+    two = [labelled_windows(df, "text", "language", most=40) for df in (texts.coalesce(1), texts.repartition(7))]
+    assert len(two[0].y) == 40 and (two[0].x == two[1].x).all() and (two[0].y == two[1].y).all() and (two[0].short_x == two[1].short_x).all()
+    a, b = (sample_pairs(df, "question", ["answer_text", "suggested_answer"], 25) for df in (asked.coalesce(1), asked.repartition(5)))
+    assert a == b and 10 < len(a) <= 25
+
+
+def test_short_paragraphs_contradict_only_where_that_is_safe(spark, data):
+    sample = labelled_windows(spark.read.parquet(f"{data}/extractions.parquet"), "text", "language", most=600)
+    assert all(0.6 <= c <= 1.1 for c in cautions(train(sample.x, sample.y), sample))
+
+
+def test_bare_references():
+    assert all(map(bare_code, ["GM1 25.558", "AMC 25.1158(a)", "CS-E 29.864", "XP-1280-G"])) and not any(map(bare_code, ["See CS 25.1", "12 bolts", "- Rotor, 12 V", "", "Yes."]))
+
+
 def test_nothing_said():
     assert all(map(says_nothing, [None, "", " \n", "...", "<br/>", "**Answer:**", "n/a", "None", "Réponse :", "—"]))
     assert not any(map(says_nothing, ["No.", "Yes.", "Non.", "5 bar", "Answer: it is 5"]))
