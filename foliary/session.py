@@ -79,6 +79,41 @@ def remove_path(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path[len("file://") :], ignore_errors=True)
 
 
+class files:
+    """Small files on whatever filesystem the session's folders are on."""
+
+    @staticmethod
+    def _at(spark: SparkSession, path: str):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> str | None:
+        """The text of a file, or None where there is none."""
+        target, fs = files._at(spark, path)
+        if not fs.exists(target):
+            return None
+        stream = fs.open(target)
+        try:
+            return bytes(b & 255 for b in spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    @staticmethod
+    def replace(spark: SparkSession, path: str, text: str) -> None:
+        """Write a file beside and put it in the place of the old one by a rename."""
+        target, fs = files._at(spark, path)
+        fresh, _ = files._at(spark, f"{path}.{uuid.uuid4().hex}")
+        stream = fs.create(fresh, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        option = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        array = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        array[0] = option
+        context.rename(fresh, target, array)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends there.
 
