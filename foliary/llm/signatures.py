@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.session import spread
@@ -27,21 +27,29 @@ WORD = re.compile(r"[^\W_]+")
 SKETCH = 128  # bits, one from each of so many minima
 
 
+DIGIT = 6  # bits of a minimum that a prefix keeps
+
+
 @dataclass(frozen=True)
 class ForestPlan:
-    """trees sorted signature permutations, of which prefixes of depth hashes are compared at their shortest.
+    """trees sorted permutations of the signatures, each entry there under the key of its first `deepest` hashes (DIGIT bits of each).
 
-    A pair of likeness s meets in at least one tree with probability 1 - (1 - s**depth)**trees.
+    Matched prefixes are shortened one hash at a time from `deepest` until the links found are, by their own likeness, at least `recall`
+    of those that there are (see recall_of). The number of trees is such that a pair at the threshold is met with probability edge_recall
+    where prefixes are `depth` long, which is as short as they get at first; below that they are shortened only while the recall asks for it.
     """
 
     threshold: float = 0.75
     depth: int = 7
-    recall: float = 0.98
+    deepest: int = 9
+    recall: float = 0.999
+    edge_recall: float = 0.98
+    least_depth: int = 4
     least_words: int = 20
 
     @property
     def trees(self) -> int:
-        return int(np.ceil(np.log1p(-self.recall) / np.log1p(-(self.threshold**self.depth))))
+        return int(np.ceil(np.log1p(-self.edge_recall) / np.log1p(-(self.threshold**self.depth))))
 
     @property
     def least_bits(self) -> int:
@@ -53,6 +61,29 @@ class ForestPlan:
                 return k
         return SKETCH
 
+    def shift(self, depth: int) -> int:
+        """Bits of a key behind a prefix of that many hashes."""
+        return DIGIT * (self.deepest - depth)
+
+    def prefix(self, key: Column, depth: int) -> Column:
+        return F.shiftright(key, self.shift(depth))
+
+    def depths(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of keys of one tree (counted from least_depth; shorter ones give less than that)."""
+        apart = a ^ b
+        out = np.full(apart.shape, self.least_depth - 1, np.int32)
+        for d in range(self.least_depth, self.deepest + 1):
+            out += (apart >> self.shift(d)) == 0
+        return out
+
+
+def recall_of(links: DataFrame, depth: int, plan: ForestPlan) -> float:
+    """The share of all links that prefixes of `depth` have met, estimated from the links found: one of likeness s is met with probability
+    1 - (1 - s**depth)**trees, so it stands for the inverse of that many. 1 where there are none."""
+    met = 1 - F.pow(1 - F.pow(F.col("likeness"), F.lit(float(depth))), F.lit(float(plan.trees)))
+    n, total = links.agg(F.count("*"), F.sum(1 / met)).first()
+    return n / total if n else 1.0
+
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -121,14 +152,17 @@ def minhashes(sorted_hashes: list[list[int]], n: int) -> np.ndarray:
 
 
 def tree_keys(mins: np.ndarray, plan: ForestPlan) -> np.ndarray:
-    """One 64-bit label per tree: the prefix of plan.depth hashes, the tree mixed in."""
-    m = mins[:, : plan.trees * plan.depth].reshape(len(mins), plan.trees, plan.depth).astype(np.uint64)
-    h = np.broadcast_to(np.arange(1, plan.trees + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), m.shape[:2]).copy()
-    with np.errstate(over="ignore"):
-        for j in range(plan.depth):
-            h = (h ^ m[:, :, j]) * np.uint64(0x9FB21C651E98DF25)
-            h ^= h >> np.uint64(28)
-    return h.view(np.int64)
+    """One number per tree: the tree, then DIGIT bits of each of plan.deepest minima, so that keys sort as the leaves of the tries do.
+
+    The first plan.depth minima of a tree are its own; the further ones, which only order the leaves under a prefix, are borrowed from the
+    trees that follow.
+    """
+    n, t, d = len(mins), plan.trees, plan.depth
+    m = (mins[:, : t * d].reshape(n, t, d) >> np.uint32(9)).astype(np.int64) & ((1 << DIGIT) - 1)
+    key = np.broadcast_to(np.arange(t, dtype=np.int64), (n, t)).copy()
+    for j in range(plan.deepest):
+        key = (key << DIGIT) | (m[:, :, j] if j < d else np.roll(m[:, :, j % d], -(j // d), axis=1))
+    return key
 
 
 def sketches(mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,16 +207,21 @@ def signature_table(df: DataFrame, id_col: str, text_col: str, plan: ForestPlan)
     return spread(src).mapInArrow(run, "id long, print binary, s1 long, s2 long, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, right: DataFrame | None = None) -> DataFrame:
     """Of candidate pairs (a, b) those whose texts have at least the likeness threshold, with it.
 
-    texts: id, text. Each text travels once per pair that needs it; texts without candidates stay where they are
-    but for one exchange by id. Repeated ids count once (the least text is taken).
+    texts: id, text, of a and b, or of a only where `right` has those of b. Each text travels once per pair that needs it; texts without
+    candidates stay where they are but for one exchange by id. Repeated ids count once (the least text is taken).
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
-    both = ends.join(texts.select("id", "text"), "id").groupBy("a", "b").agg(
-        F.min(F.when(F.col("id") == F.col("a"), F.col("text"))).alias("x"), F.min(F.when(F.col("id") == F.col("b"), F.col("text"))).alias("y")
-    )
+    if right is None:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
+        both = ends.join(texts.select("id", "text"), "id").groupBy("a", "b").agg(
+            F.min(F.when(F.col("id") == F.col("a"), F.col("text"))).alias("x"), F.min(F.when(F.col("id") == F.col("b"), F.col("text"))).alias("y")
+        )
+    else:
+        left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+        there = pairs.select("a", "b").join(right.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        both = there.join(left, "a").groupBy("a", "b").agg(F.min("x").alias("x"), F.min("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,4 +229,4 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array(s >= threshold)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(s).filter(keep)], names=["a", "b", "likeness"])
 
-    return both.mapInArrow(run, "a long, b long, likeness double")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, likeness double")

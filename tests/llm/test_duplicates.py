@@ -132,3 +132,62 @@ def test_crowded_family_is_settled_by_its_first(spark):
     assert got == want
     old = spark.createDataFrame([(i, copy()) for i in range(120)], "id long, text string")
     assert {x.id for x in known_incoming(old, new, "id", "id", "batch").collect()} == {i for i, _, _ in family}
+
+
+def texts_for(seed, n, start):
+    r = random.Random(seed)
+    return [(start + i, " ".join(r.choice([f"v{j}" for j in range(900)]) for _ in range(r.randint(25, 60)))) for i in range(n)]
+
+
+def edited(text, r, words):
+    ws = text.split()
+    for _ in range(words):
+        ws[r.randrange(len(ws))] = f"n{r.randrange(10**6)}"
+    return " ".join(ws)
+
+
+def test_forest_persists_over_sessions_and_follows_the_batch(spark, tmp_path):
+    """Reopened, appended to, merged: the same answers as without a forest, ids as they are given."""
+    r, path = random.Random(3), f"file://{tmp_path}/kept"
+    old = texts_for(1, 120, 0)
+    first = [(i, i % 2, edited(t, r, 2) if i % 3 == 0 else " ".join(f"z{i}w{k}" for k in range(30))) for i, t in old[:40]]  # ids as in the history
+    second = [(500 + i, 0, edited(t, r, 1)) for i, _, t in first[1:3]] + [(600, 0, old[77][1]), (601, 1, edited(old[80][1], r, 2)), (602, 1, None)]
+    h = spark.createDataFrame(old, "id long, text string")
+    one, two = (spark.createDataFrame(x, "id long, b long, text string") for x in (first, second))
+    HashForest(spark, path).add(h, "id", "text")
+    with_forest = {x.id for x in known_incoming(None, one, "id", "id", "b", forest=HashForest(spark, path)).collect()}
+    assert with_forest == {x.id for x in known_incoming(h, one, "id", "id", "b").collect()} == {i for i, _, _ in first if i % 3 == 0}
+    accepted = [(1000 + i, t) for i, _, t in first if i not in with_forest]
+    kept = HashForest(spark, path)
+    kept.add(spark.createDataFrame(accepted, "id long, text string"), "id", "text")
+    assert len(kept.runs) == 2
+    want = {x.id for x in known_incoming(h.union(spark.createDataFrame(accepted, "id long, text string")), two, "id", "id", "b").collect()}
+    assert want == {501, 502, 600, 601}
+    assert {x.id for x in known_incoming(None, two, "id", "id", "b", forest=HashForest(spark, path)).collect()} == want
+    again = HashForest(spark, path)
+    again.merge()
+    assert len(again.runs) == 1 and {x.id for x in known_incoming(None, two, "id", "id", "b", forest=HashForest(spark, path)).collect()} == want
+    with pytest.raises(ValueError):
+        HashForest(spark, path, ForestPlan(threshold=0.8))
+
+
+def test_recall_against_brute_force_at_several_thresholds(spark):
+    r = random.Random(6)
+    base = texts_for(4, 40, 0)
+    rows = [(n * 100 + k, edited(t, r, k)) for n, (_, t) in enumerate(base) for k in range(7)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for threshold in (0.6, 0.75, 0.9):
+        links = {(a, b) for n, (a, x) in enumerate(rows) for b, y in rows[n + 1 : n + 8] if likeness(x, y) >= threshold}
+        groups = {x.id: x.group_id for x in near_duplicate_groups(df, "id", "text", ForestPlan(threshold=threshold)).collect()}
+        met = sum(groups.get(a, a) == groups.get(b, -b) for a, b in links)
+        assert len(links) > 50 and met / len(links) >= 0.98, threshold
+
+
+def test_hot_prefix_is_cut_and_still_whole(spark):
+    """A family that fills its prefixes, cut into parts and finished in blocks, gives one group; so does a crowd of unlike texts give none."""
+    r = random.Random(12)
+    t = " ".join(f"h{i}" for i in range(60))
+    rows = [(i, edited(t, r, 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {x.id: x.group_id for x in near_duplicate_groups(df, "id", "text", window=8, hot=20).collect()}
+    assert got == {i: 0 for i in range(300)}
