@@ -5,15 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.session import materialize, parts, spread
+from foliary.session import spread
 
 MESSAGE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
-TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[^\w\s]")
+NUMBER = re.compile(r"\d+")
 DIGIT = re.compile(r"\d")
 DEPTH = 4
 
@@ -68,16 +68,36 @@ SLOT = re.compile(
 MAYBE_SLOT = r"[{}\[<«@$%]|&lt;|__|XX/|TB[DC]|TODO|FIXME"
 
 
-def masked(message: str) -> list[str]:
-    """Tokens of a message, lower-cased, those with digits replaced by #."""
-    return ["#" if DIGIT.search(t) else t for t in TOKEN.findall(message.lower())]
+def template_of(message: str) -> str:
+    """The template of a message: lower-cased, spacing made even, its numbers replaced by 0 (but for those that may be status codes)."""
+    low = " ".join(message.lower().split())
+    return NUMBER.sub(lambda m: m[0] if len(m[0]) == 3 and m[0][0] in "45" else "0", low) if DIGIT.search(low) else low
 
 
-def leaf(tokens: list[str]) -> int:
-    """The leaf of the fixed-depth prefix tree: the length class, then the first DEPTH tokens."""
-    n = len(tokens)
-    size = n if n <= 12 else 12 + n // 8
-    return xxhash.xxh3_64_intdigest(" ".join([str(size), *tokens[:DEPTH]])) - (1 << 63)
+class TemplateTree:
+    """Templates mined from messages, in a prefix tree of fixed depth: the length class, the first DEPTH tokens, then the templates of the
+    leaf, told apart by all their tokens. Each is classified once, when it is first met, by itself alone; so the verdict on a message never
+    depends on what else the tree holds, on the order of the rows or on how they are parted."""
+
+    def __init__(self, most: int = 300_000):
+        self.root: dict = {}
+        self.size, self.most = 0, most
+
+    def verdict(self, message: str) -> str:
+        found = template_of(message)
+        tokens = found.split(" ", DEPTH)
+        n = len(found) // 6
+        node = self.root.setdefault(n if n <= 12 else 12 + n // 8, {})
+        for t in tokens[:DEPTH]:
+            node = node.setdefault(t, {})
+        leaf = node.setdefault(None, {})
+        out = leaf.get(found)
+        if out is None:
+            if self.size >= self.most:  # later messages only make their templates anew
+                self.root, self.size, leaf = {}, 0, {}
+            out = leaf[found] = verdict(found)
+            self.size += 1
+        return out
 
 
 def has_slot(text: str) -> bool:
@@ -120,41 +140,32 @@ def verdict(message: str) -> str:
     return "content"
 
 
-def mine(df: DataFrame, id_col: str, text_col: str, least_chars: int = 10) -> DataFrame:
-    """id, slot, leaves, sizes, seen of each text: its messages (lines and sentences) as leaves of the prefix tree.
+def weighed(df: DataFrame, id_col: str, text_col: str, least_chars: int = 10) -> DataFrame:
+    """id, slot (an unresolved slot), bad, filler, content: characters of each text's messages (lines and sentences) by the verdicts on their templates.
 
-    Each task grows its tree as it reads; `seen` holds (leaf, example) where the text's message is the least that the task has met at
-    that leaf, so the least example of every template comes out of one reading of the texts.
+    Each task grows a tree of templates as it reads and gives a template's verdict to all its messages, so no table of messages or
+    verdicts leaves it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: dict[int, str] = {}
+        tree = TemplateTree()
         for b in batches:
-            slots, leaves, sizes, seen = [], [], [], []
-            for t, maybe in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            slots, sums = [], np.zeros((b.num_rows, 3), np.int64)
+            for i, (t, maybe) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 slots.append(bool(maybe) and has_slot(t))
-                own, size, new = [], [], []
                 for p in MESSAGE.split(t):
                     if not p or p.isspace():
                         continue
-                    k = leaf(masked(p))
-                    own.append(k)
-                    size.append(len(p))
-                    if (e := tree.get(k)) is None or p < e:
-                        tree[k] = p
-                        new.append({"leaf": k, "example": p})
-                leaves.append(own)
-                sizes.append(size)
-                seen.append(new)
-            if len(tree) > 500_000:  # only makes later examples come out again
-                tree.clear()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(slots), pa.array(leaves, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(seen, pa.list_(pa.struct([("leaf", pa.int64()), ("example", pa.string())])))],
-                names=["id", "slot", "leaves", "sizes", "seen"],
-            )
+                    what = tree.verdict(p)
+                    if what == "content":
+                        sums[i, 2] += len(p)
+                    elif what in ("error", "script", "filler"):
+                        sums[i, 0] += len(p)
+                        sums[i, 1] += len(p) * (what == "filler")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(slots, pa.bool_()), *(pa.array(sums[:, c]) for c in range(3))], names=["id", "slot", "bad", "filler", "content"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") >= least_chars)
-    return spread(src).select("id", "text", F.col("text").rlike(MAYBE_SLOT).alias("maybe")).mapInArrow(run, "id long, slot boolean, leaves array<long>, sizes array<int>, seen array<struct<leaf: long, example: string>>")
+    return spread(src).select("id", "text", F.col("text").rlike(MAYBE_SLOT).alias("maybe")).mapInArrow(run, "id long, slot boolean, bad long, filler long, content long")
 
 
 def residue_ids(df: DataFrame, id_col: str, text_col: str, least_chars: int = 10, most_content: float = 1.0) -> DataFrame:
@@ -162,28 +173,11 @@ def residue_ids(df: DataFrame, id_col: str, text_col: str, least_chars: int = 10
 
     A text is residue if messages judged error, script or filler outweigh its content (titles and page furniture count for nothing).
     Null texts and texts under least_chars are never residue; repeated rows count once; null ids are left out; an empty table gives an
-    empty table; texts are read whole; other columns are not read.
+    empty table; texts are read whole; other columns are not read. Of rows that share an id but not the text, one that is residue is enough.
     """
-    messages = materialize(mine(df.where(F.col(id_col).isNotNull()), id_col, text_col, least_chars), "messages")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([verdict(x) for x in b.column(1).to_pylist()], pa.string())], names=["leaf", "verdict"])
-
-    templates = messages.select(F.explode("seen").alias("s")).groupBy("s.leaf").agg(F.min("s.example").alias("example"))
-    judged = templates.select("leaf", "example").repartition(parts(df.sparkSession)).mapInArrow(judge, "leaf long, verdict string").where("verdict <> 'content'")
-    judged = materialize(judged, "verdicts")
-    each = messages.select("id", F.explode(F.arrays_zip("leaves", "sizes")).alias("m")).select("id", F.col("m.leaves").alias("leaf"), F.col("m.sizes").alias("size"))
-    each = each.groupBy("id", "leaf").agg(F.sum("size").alias("size"))
-    seen = each.join(judged, "leaf", "left")
-    bad, free = F.col("verdict").isin("error", "script", "filler"), F.col("verdict").isin("title", "frame")
-    sums = seen.groupBy("id").agg(
-        F.sum(F.when(bad, F.col("size")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("verdict") == "filler", F.col("size")).otherwise(0)).alias("filler"),
-        F.sum(F.when(bad | free, 0).otherwise(F.col("size"))).alias("content"),
-    )
-    whole = sums.where((F.col("bad") > 0) & (F.col("content") <= F.col("bad") * most_content) | (F.col("filler") > 0)).select("id")
-    return whole.union(messages.where("slot").select("id")).distinct().withColumnRenamed("id", id_col)
+    found = weighed(df.where(F.col(id_col).isNotNull()), id_col, text_col, least_chars)
+    bad = F.col("slot") | ((F.col("bad") > 0) & (F.col("content") <= F.col("bad") * most_content)) | (F.col("filler") > 0)
+    return found.where(bad).select("id").distinct().withColumnRenamed("id", id_col)
 
 
 def without_residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

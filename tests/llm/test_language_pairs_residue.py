@@ -5,7 +5,7 @@ import numpy as np
 from foliary.llm.crf import feature_ids
 from foliary.llm.language import LANGUAGES, cautions, detect_languages, label_language, labelled_windows, named_language, paragraphs, train, wrong_languages
 from foliary.llm.pairs import Tagger, bare_code, clauses, defective_pairs, sample_pairs, says_nothing
-from foliary.llm.residue import has_slot, residue_ids, verdict, without_residue
+from foliary.llm.residue import TemplateTree, has_slot, residue_ids, template_of, verdict, without_residue
 
 EN = "The pump must be tested before the first flight and the valve is replaced after each landing by the crew."
 FR = "La pompe doit être contrôlée avant le premier vol et la vanne est remplacée après chaque atterrissage."
@@ -113,6 +113,15 @@ def test_verdicts():
     assert {k: verdict(k) for k in want} == want
 
 
+def test_a_verdict_stands_for_its_own_template_only(spark):
+    one, two = "This page was not found on the server.", "This page was not signed by the inspector."
+    df = spark.createDataFrame([(1, one), (2, two), (3, "Error 404 in the log"), (4, "Error 12 in the log book of the crew was closed.")], "doc_id long, text string")
+    assert {r.doc_id for r in residue_ids(df, "doc_id", "text").collect()} == {1, 3}
+    tree = TemplateTree(most=2)
+    said = [tree.verdict(x) for x in (two, one, "Request timed out after 77 ms", "Request timed out after 9 ms", one)]
+    assert said == ["content", "error", "error", "error", "error"] and template_of("Part  12 of 404") == "part 0 of 404"
+
+
 def test_residue_table(spark):
     rows = [(1, "Sealed pump\nRequest timed out after 77 ms\nTrace id 3-4"), (2, f"{EN} When the server answers with error 404, the crew shall log the event. {EN}"), (3, f"{EN} The value is {{{{limit}}}} bar."), (4, None), (5, ""), (6, "ok"), (7, f"{EN}\n\nText goes here."), (8, EN), (8, EN), (9, EN * 2000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, leaf int")
