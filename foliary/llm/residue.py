@@ -41,7 +41,7 @@ SCRIPT_WANTED = re.compile(
 )
 FILLER = re.compile(
     "|".join((
-    r"""\bplaceholder\b|\b(?:sample|dummy|filler) (?:text|content)\b|\btext goes here\b|\b(?:replace|insert|overwrite) (?:this|your) (?:paragraph|text|content)\b|\bto be written\b|\btexte d.exemple\b|\bcontenu à (?:rédiger|compléter|venir)\b|\bremplace[rz] ce (?:paragraphe|texte)\b|\btexte (?:ici|de remplissage)\b""",
+    r"""\bplaceholder\b|\b(?:sample|dummy|filler) (?:text|content)\b|\btext goes here\b|\b(?:replace|insert|overwrite) (?:this|your) (?:paragraph|text|content)\b|\bto be written\b|\btexte d.exemple\b|\bcontenu à (?:rédiger|compléter|venir)\b|\bremplace[rz] ce (?:paragraphe|texte)\b|\b(?:faux[- ]texte|texte (?:ici|factice|provisoire|de remplissage))\b""",
     r"""\b(?:beispiel|platzhalter|muster|füll|blind)text\b|\bplatzhalter\b|\b(?:diesen|dieser) (?:absatz|text)\b.*\b(?:ersetzen|ersetzt)|\b(?:inhalt|text) folgt\b|\bhier steht (?:später|dann)\b|\btext hier\b|\btexto de (?:ejemplo|relleno|muestra)\b|\bsustituya este (?:párrafo|texto)\b|\breemplace este\b|\bcontenido (?:por|pendiente)\b|\btesto (?:di esempio|segnaposto|qui)\b|\bsostituire questo (?:paragrafo|testo)\b|\bcontenuto da (?:scrivere|inserire|redigere)\b|\blorem ipsum\b""",
     ))
 )
@@ -131,7 +131,7 @@ def verdict(message: str) -> str:
         return "frame"
     if len(ws) >= 4 and not DIGIT.search(low) and low[-1:] in ".!?" and not FUNCTION_WORDS & set(ws):
         return "filler"
-    if len(ws) >= 6 and len(set(ws)) <= 3:
+    if len(ws) >= 6 and len(set(ws)) <= 3 or len(ws) >= 3 and len(set(ws)) == 1 or len(ws) >= 2 and all(len(w) >= 3 and len(set(w)) == 1 for w in ws):
         return "filler"
     if not ws:
         return "filler" if len(low) >= 4 and len(set(low)) == 1 and low[0] not in "-=*#_~|+" else "frame"

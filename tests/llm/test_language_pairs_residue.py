@@ -118,6 +118,7 @@ def test_a_verdict_stands_for_its_own_template_only(spark):
     df = spark.createDataFrame([(1, one), (2, two), (3, "Error 404 in the log"), (4, "Error 12 in the log book of the crew was closed.")], "doc_id long, text string")
     assert {r.doc_id for r in residue_ids(df, "doc_id", "text").collect()} == {1, 3}
     tree = TemplateTree(most=2)
+    assert [verdict(x) for x in ("bla bla bla.", "xxxx xxxx xxxx", "Ceci est un faux texte.", "very very well")] == ["filler", "filler", "filler", "title"]
     said = [tree.verdict(x) for x in (two, one, "Request timed out after 77 ms", "Request timed out after 9 ms", one)]
     assert said == ["content", "error", "error", "error", "error"] and template_of("Part  12 of 404") == "part 0 of 404"
 
