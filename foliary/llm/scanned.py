@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,7 +84,8 @@ def page_values(line: str) -> list[int]:
 
 @dataclass
 class Editor:
-    """An averaged perceptron that names, for each character of a word, what to do: keep, del, or rep:string."""
+    """An averaged perceptron that names, for each character of a word, what to do: keep, del, rep:string, or ins:string (keep the character and
+    insert the string behind it); and for the mark at the end of a line whether to join the lines there or keep the mark."""
 
     weights: dict[str, dict[str, float]] = field(default_factory=dict)
 
@@ -110,9 +112,36 @@ class Editor:
         for i, ch in enumerate(word):
             op = self.choose(self.features(word, i, done))
             ops.append(op)
-            done += ch if op == "keep" else op[4:] if op != "del" else ""
+            done += edited(ch, op)
         return ops
 
+    @staticmethod
+    def join_features(left: str, right: str, known_left: bool, known_right: bool, starts: bool, ends: bool) -> list[str]:
+        """Features of a mark between two parts of what may be one word, neither whole being in the lexicon: the characters beside it, whether
+        the parts are words, and whether words start and end as they do."""
+        a, b = left.lower(), right.lower()
+        words, sizes = f"{known_left:d}{known_right:d}", f"{min(4, len(a))}{min(4, len(b))}"
+        return ["J", f"Jw{words}", f"Jw{words}s{sizes}", f"Js{starts:d}{ends:d}", f"Js{starts:d}{ends:d}w{words}", f"Ja{a[-3:]}", f"Jb{b[:3]}", f"Jc{a[-1:]}{b[:1]}", f"Jd{a[-2:]}{b[:2]}"]
+
+    def joins(self, feats: list[str]) -> bool:
+        return sum(self.weights.get(f, {}).get("join", 0.0) for f in feats) > 0
+
+    def fit_joins(self, examples: list[tuple[list[str], bool]], rounds: int = 4, seed: int = 4) -> Editor:
+        w: dict[str, float] = defaultdict(float)
+        total: dict[str, float] = defaultdict(float)
+        r, step = random.Random(seed), 0
+        for _ in range(rounds):
+            r.shuffle(examples)
+            for feats, right in examples:
+                step += 1
+                if (sum(w[f] for f in feats) > 0) != right:
+                    for f in feats:
+                        w[f] += 1.0 if right else -1.0
+                        total[f] += step * (1.0 if right else -1.0)
+        for f, v in w.items():
+            self.weights.setdefault(f, {})["join"] = round(v - total[f] / max(step, 1), 4)
+        return self
+
     def fit(self, pairs: list[tuple[str, list[str]]], rounds: int = 4, seed: int = 2) -> Editor:
         w: dict[tuple[str, str], float] = defaultdict(float)
         total: dict[tuple[str, str], float] = defaultdict(float)
@@ -134,7 +163,7 @@ class Editor:
                                 since[k] = step
                                 w[k] += d
                                 live.setdefault(f, {})[op] = w[k]
-                    done += ch if right == "keep" else right[4:] if right != "del" else ""
+                    done += edited(ch, right)
         mean: dict[str, dict[str, float]] = {}
         for (f, op), v in w.items():
             value = (total[f, op] + (step - since[f, op]) * v) / max(step, 1)
@@ -144,13 +173,21 @@ class Editor:
         return self
 
 
+def edited(ch: str, op: str) -> str:
+    """What an operation makes of a character."""
+    return ch if op == "keep" else "" if op == "del" else ch + op[4:] if op.startswith("ins:") else op[4:]
+
+
 def apply_edits(word: str, ops: list[str]) -> str:
-    return "".join(c if o == "keep" else "" if o == "del" else o[4:] for c, o in zip(word, ops))
+    return "".join(map(edited, word, ops))
 
 
 def edits_of(bad: str, good: str, at: int, seen: str, meant: str) -> list[str]:
-    """Operations that turn bad into good, where `seen` at position `at` stands for `meant`."""
+    """Operations that turn bad into good, where `seen` at position `at` stands for `meant`; nothing seen: `meant` is missing before `at`."""
     ops = ["keep"] * len(bad)
+    if not seen:
+        ops[at - 1] = f"ins:{meant}"
+        return ops
     ops[at] = f"rep:{meant}"
     for k in range(1, len(seen)):
         ops[at + k] = "del"
@@ -176,17 +213,30 @@ class Reader:
 
     counts: dict[str, int]
     editor: Editor
-    heads: frozenset[str] = frozenset()
-    tails: frozenset[str] = frozenset()
     repaired: dict[str, tuple[str, list[str]] | None] = field(default_factory=dict)
 
+    def __getstate__(self):  # what follows from the lexicon is made again where it is needed
+        return {"counts": self.counts, "editor": self.editor, "repaired": {}}
+
+    @cached_property
+    def heads(self) -> frozenset[str]:
+        return frozenset(w[:k] for w in self.counts if "-" not in w for k in range(1, len(w)))
+
+    @cached_property
+    def tails(self) -> frozenset[str]:
+        return frozenset(w[k:] for w in self.counts if "-" not in w for k in range(1, len(w)))
+
+    def join_features(self, a: str, b: str) -> list[str]:
+        return Editor.join_features(a, b, self.known(a), self.known(b), a in self.heads, b in self.tails)
+
     @classmethod
     def teach(cls, counts: dict[str, int], share: float = 0.04, most_pairs: int = 40_000, seed: int = 9) -> Reader:
         """Fit on the words of the pages themselves.
 
-        A rare word one misreading away from a far more common one gives a confusion of characters; the confusions that recur are
-        then laid over the common words to make the training pairs, with the common words themselves as examples to keep. At most
-        most_pairs pairs train; the lexicon has all words.
+        A rare word one misreading away from a far more common one (a character or two taken for others, or one lost) gives a confusion of
+        characters; the confusions that recur are then laid over the common words to make the training pairs, with the common words
+        themselves as examples to keep. Common words cut anywhere, and compounds cut at their own hyphen, teach the joining of lines. At most
+        most_pairs pairs of each kind train; the lexicon has all words.
         """
         r = random.Random(seed)
         plain = {w: n for w, n in counts.items() if w.isalpha()}
@@ -196,6 +246,12 @@ class Reader:
         confused: Counter = Counter()
         bad: set[str] = set()
         mined: list[tuple[str, list[str]]] = []
+        lost: dict[str, tuple[int, str, int]] = {}  # a common word without one character: its count, the word, the place
+        for w in sorted(common):
+            for k in range(1, len(w)):
+                short = w[:k] + w[k + 1 :]
+                if len(w) > 4 and (short not in lost or plain[w] > lost[short][0]):
+                    lost[short] = (plain[w], w, k)
         for w in order:
             if len(w) < 4:
                 continue
@@ -204,6 +260,9 @@ class Reader:
                 m = plain.get(other, 0)
                 if m >= LEAST_WORD and n <= share * m and (best is None or m > best[0]):
                     best = (m, other, at, seen, meant)
+            if best is None and w in lost and n <= 0.25 * share * lost[w][0]:  # weaker evidence: a form of the word may lack a character
+                m, other, at = lost[w]
+                best = (m, other, at, "", other[at])
             if best:
                 _, other, at, seen, meant = best
                 confused[seen, meant] += 1
@@ -212,7 +271,11 @@ class Reader:
         usual = [(k, n) for k, n in confused.items() if n >= max(3, 0.002 * sum(confused.values()))]
         trusted = {k for k, _ in usual}
         # a word differing by an unusual confusion is a word of its own
-        bad = {w for (w, ops) in mined if any((w[i : i + 1 + ops[i + 1 :].count("del")], o[4:]) in trusted for i, o in enumerate(ops) if o.startswith("rep:"))}
+        bad = {
+            w
+            for w, ops in mined
+            if any((w[i : i + 1 + ops[i + 1 :].count("del")] if o.startswith("rep:") else "", o[4:]) in trusted for i, o in enumerate(ops) if o[:4] in ("rep:", "ins:"))
+        }
         good = sorted(w for w in common if w not in bad)
         by_meant: dict[str, list[tuple[str, str]]] = defaultdict(list)
         for (seen, meant), n in usual:
@@ -223,7 +286,7 @@ class Reader:
         spots = [m for m in by_meant]
         while good and spots and len(pairs) < min(most_pairs, 12 * len(good) + 200):
             w = r.choice(good)
-            here = [(i, m) for m in spots for i in range(len(w) - len(m) + 1) if w.startswith(m, i)]
+            here = [(i, m) for m in spots for i in range(1 if ("", m) in trusted else 0, len(w) - len(m) + 1) if w.startswith(m, i)]
             if not here or len(w) < 3:
                 if len(pairs) > 11 * len(good):
                     break
@@ -237,9 +300,13 @@ class Reader:
                 continue
             pairs.append((noisy, edits_of(noisy, w, i, seen, m)))
         kept = {w: counts[w] for w in good} | {w: n for w, n in counts.items() if "-" in w and n >= LEAST_COMPOUND}
-        heads = frozenset(w[:k] for w in good for k in range(1, len(w)))
-        tails = frozenset(w[k:] for w in good for k in range(1, len(w)))
-        return cls(kept, Editor().fit(pairs), heads, tails)
+        reader = cls(kept, Editor().fit(pairs))
+        long = [w for w in good if len(w) > 5]
+        cuts = [(w[:k], w[k:]) for w in (r.choice(long) for _ in range(min(most_pairs // 2, 6 * len(long)))) for k in [r.randint(2, len(w) - 2)]] if long else []
+        own = [tuple(w.rsplit("-", 1)) for w in sorted(kept) if "-" in w]
+        own = [(a.rsplit("-", 1)[-1], b) for a, b in own for _ in range(max(1, len(cuts) // (3 * len(own))))][: most_pairs // 2]
+        reader.editor.fit_joins([(reader.join_features(a, b), True) for a, b in cuts] + [(reader.join_features(a, b), False) for a, b in own])
+        return reader
 
     def known(self, word: str) -> bool:
         return word in self.counts
@@ -330,12 +397,11 @@ class PageReader:
         fixed = r.repair(joined)
         if fixed:
             return a, b
-        if r.known(low_a) and r.known(low_b) and len(low_a) > 2 and len(low_b) > 2:
-            return None
-        fa, fb = r.repair(low_a), r.repair(low_b)
-        if (r.known(low_a) or fa) and (r.known(low_b) or fb) and len(low_b) > 3 and r.counts.get(f"{fa[0] if fa else low_a}-{fb[0] if fb else low_b}", 0):
+        fa, fb = r.repair(low_a), r.repair(low_b)  # a part with a wrong character counts as what it should be
+        part_a, part_b = fa[0] if fa else low_a, fb[0] if fb else low_b
+        if r.counts.get(f"{part_a}-{part_b}", 0) and len(low_b) > 3:
             return None
-        return a, b
+        return (a, b) if r.editor.joins(r.join_features(low_a, low_b)) else None
 
     def misread(self, word: str, first: bool, last: bool) -> str | None:
         """What a word should read, if some of its characters are wrong."""
@@ -487,12 +553,31 @@ def word_counts(pages: DataFrame, most_rare: int = 200_000) -> dict[str, int]:
     return dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist()))
 
 
-def _with_context(pages: DataFrame, layout: DataFrame) -> DataFrame:
-    """Each page with its document's layout and with the texts of the pages beside it (joined by number, so no document is gathered)."""
-    named = pages.join(layout, "doc", "left")
-    after = pages.select("doc", (F.col("page") - 1).alias("page"), F.substring("text", 1, 1500).alias("after"))
-    before = pages.select("doc", (F.col("page") + 1).alias("page"), F.expr("right(text, 1500)").alias("before"))
-    return named.join(after, ["doc", "page"], "left").join(before, ["doc", "page"], "left").select("doc", "page", "text", "heads", "offsets", "after", "before")
+def _edges(pages: DataFrame, layout: DataFrame) -> DataFrame:
+    """doc, page, lines and kinds of a page's furniture, and its first and last line of body text: all that the pages beside it need of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for d, p, t, heads, offsets in zip(*(b.column(c).to_pylist() for c in range(5))):
+                lines = t.split("\n")
+                marks = furniture(lines, p, heads or [], offsets or [])
+                body = body_lines(lines, marks)
+                rows.append((d, p, list(marks), list(marks.values()), lines[body[0]] if body else None, lines[body[-1]] if body else None))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc", "page", "at", "kind", "first", "last"])
+
+    named = pages.join(layout, "doc", "left").select("doc", "page", "text", "heads", "offsets")
+    return named.mapInArrow(run, "doc long, page int, at array<int>, kind array<string>, first string, last string")
+
+
+def _with_context(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each page with its furniture, the first body line of the next page and the last one of the page before (joined by number, so no document is gathered)."""
+    after = edges.select("doc", (F.col("page") - 1).alias("page"), F.col("first").alias("after"))
+    before = edges.select("doc", (F.col("page") + 1).alias("page"), F.col("last").alias("before"))
+    beside = edges.select("doc", "page", "at", "kind").join(after, ["doc", "page"], "left").join(before, ["doc", "page"], "left")
+    return pages.join(beside, ["doc", "page"]).select("doc", "page", "text", "at", "kind", "after", "before")
 
 
 def _read_pages(reader: Reader):
@@ -500,24 +585,11 @@ def _read_pages(reader: Reader):
         pr = PageReader(reader)
         for b in batches:
             rows = []
-            for d, p, t, heads, offsets, after, before in zip(*(b.column(c).to_pylist() for c in range(7))):
-                heads, offsets = heads or [], offsets or []
-                lines = t.split("\n")
-                marks = furniture(lines, p, heads, offsets)
+            for d, p, t, at, kind, after, before in zip(*(b.column(c).to_pylist() for c in range(7))):
+                lines, marks = t.split("\n"), dict(zip(at, kind))
                 body = body_lines(lines, marks)
-                next_first = from_before = None
-                if after is not None:
-                    ls = after.split("\n")
-                    own = furniture(ls[:ZONE + 3], p + 1, heads, offsets)
-                    at = body_lines(ls[:ZONE + 3], own)
-                    next_first = ls[at[0]] if at else None
-                if before is not None and body:
-                    ls = before.split("\n")[-ZONE - 3 :]
-                    own = furniture(ls, p - 1, heads, offsets)
-                    at = body_lines(ls, own)
-                    cut = pr.breaks(ls[at[-1]], lines[body[0]]) if at else None
-                    from_before = cut[0] if cut else None
-                done = pr.read(lines, marks, next_first, from_before)
+                cut = pr.breaks(before, lines[body[0]]) if before is not None and body else None
+                done = pr.read(lines, marks, after, cut[0] if cut else None)
                 rows.append((d, p, [i + 1 for i, _ in done.defects], [k for _, k in done.defects], "\n".join(done.body), done.open_end))
             cols = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string(), pa.bool_()]
@@ -535,7 +607,8 @@ def read_scans(df: DataFrame, document: str = "document_id", page: str = "page_n
     """
     pages = materialize(_pages(df, document, page, text), "pages")
     reader = Reader.teach(word_counts(pages))
-    return _with_context(pages, _layout(pages)).repartition(parts(df.sparkSession)).mapInArrow(_read_pages(reader), "doc long, page int, line_no array<int>, defect array<string>, body string, open_end boolean")
+    edges = materialize(_edges(pages, _layout(pages)), "edges")
+    return _with_context(pages, edges).repartition(parts(df.sparkSession)).mapInArrow(_read_pages(reader), "doc long, page int, line_no array<int>, defect array<string>, body string, open_end boolean")
 
 
 def scan_defects(df: DataFrame, document: str = "document_id", page: str = "page_number", text: str = "text") -> DataFrame:

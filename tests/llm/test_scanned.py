@@ -1,6 +1,6 @@
 import random
 
-from foliary.llm.scanned import PageReader, Reader, furniture, head_key, page_values, read_scans, repaired_documents, scan_defects, word_counts
+from foliary.llm.scanned import Editor, PageReader, Reader, apply_edits, edits_of, furniture, head_key, page_values, read_scans, repaired_documents, scan_defects, word_counts
 
 WORDS = "the pump must be tested before first flight and valve is replaced after each landing by crew operator load-bearing low-pressure hydraulic component inspection interval recorded card".split()
 
@@ -67,3 +67,33 @@ def test_lexicon_keeps_the_same_words_at_every_size(spark):
     assert {"torquemeter", "cross-feed", "pump"} <= set(lexicon)
     few = word_counts(spark.createDataFrame([(f"x rare{chr(97 + i)}{chr(97 + j)} y",) for i in range(26) for j in range(26)] + [("x pump y",)] * 5, "text string"), most_rare=50)
     assert few["pump"] == 5 and 10 < len(few) < 120
+
+
+def test_lost_letters_are_put_back():
+    """Where words lose a letter again and again, the editor learns to insert it."""
+    r = random.Random(5)
+    stems = "insp rec comp mark oper mont contr sust alt corr".split()
+    counts = {f"{a}{b}ion{c}": 400 for a in stems for b in ("ect", "ord", "ut", "ress") for c in ("", "al", "s")}
+    lost = {w.replace("ion", "on"): w for w in sorted(counts) if r.random() < 0.4}
+    reader = Reader.teach(counts | {k: 3 for k in lost})
+    put = {k: reader.repair(k) for k in lost}
+    assert sum(bool(v) and v[0] == lost[k] for k, v in put.items()) / len(lost) > 0.8
+    assert any(o.startswith("ins:") for v in put.values() if v for o in v[1]) and all(reader.repair(w) is None for w in counts)
+    assert apply_edits("vave", edits_of("vave", "valve", 2, "", "l")) == "valve"
+
+
+def test_joining_of_unknown_words_is_learnt():
+    counts = {w: 50 for w in WORDS} | {w + s: 20 for w in WORDS if "-" not in w for s in ("ing", "able", "ment")} | {f"{a}-{b}": 30 for a in ("low", "high", "rear", "self") for b in ("pressure", "landing", "bearing", "locking")}
+    counts |= {w: 60 for w in ("low", "high", "rear", "self", "pressure", "landing", "bearing", "locking")}
+    pr = PageReader(Reader.teach(counts))
+    assert pr.breaks("it is preheat-", "ment here") == ("preheat", "ment") and pr.breaks("a rear-", "valve here") is None
+    assert Editor().fit_joins([(["a"], True), (["b"], False)] * 9).joins(["a"]) and not Editor().fit_joins([(["a"], True), (["b"], False)] * 9).joins(["b"])
+
+
+def test_words_cut_across_pages_behind_much_furniture(spark):
+    """The next page's first body line counts, however many lines of furniture or blanks stand before it."""
+    rows, _ = pages(3, docs=6, per=3)
+    rows = [(d, p, t.replace(f"\n- {p} -", " inspec-\n" + f"- {p} -") if p == 1 else t.replace("Issue 3\n", "Issue 3" + "\n " * 900 + "\ntion ", 1) if p == 2 else t) for d, p, t in rows]
+    got = {tuple(r) for r in scan_defects(spark.createDataFrame(rows, "document_id long, page_number int, text string")).collect()}
+    lines = {(d, p): t.split("\n") for d, p, t in rows}
+    assert all((d, 1, len(lines[d, 1]) - 1, "hyphen_break") in got for d in range(6))
