@@ -14,6 +14,7 @@ from foliary.session import spread
 
 MESSAGE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 NUMBER = re.compile(r"\d+")
+LETTERED = re.compile(r"[^\W\d_]+")
 DIGIT = re.compile(r"\d")
 DEPTH = 4
 
@@ -35,6 +36,13 @@ ERROR = re.compile(
     r"""\bscheduled maintenance\b|\bmaintenance (?:programmée|en cours)\b|\bwartungsarbeiten\b|\bmantenimiento programado\b|\bmanutenzione programmata\b|\btoo many requests\b|\btrop de requêtes\b|\bzu viele anfragen\b|\bdemasiadas (?:peticiones|solicitudes)\b|\btroppe richieste\b|\b(?:something|etwas) (?:went wrong|ist schiefgelaufen)\b|\balgo salió mal\b|\bqualcosa è andato storto\b|\bune erreur est survenue\b|\bsi è verificato un errore\b|\bse ha producido un error\b|\bein fehler ist aufgetreten\b|\bslow down and retry\b|\btry again (?:later|in a few)\b|\bcannot (?:start|run|load) without\b""",
     ))
 )
+# Words of which a message has one wherever ERROR can match (those that begin with a status code apart).
+ERROR_WORDS = frozenset(
+    """error erreur fehler errore gateway interner found introuvable existe gefunden existiert encontrada trovata esiste exists timed délai zeitüberschreitung
+    espera scaduto unavailable indisponible erreichbar verfügbar disponible disponibile raggiungibile expire expired expiré abgelaufen caducado expirado scaduta
+    denied permission refusé verweigert denegado negato maintenance wartungsarbeiten mantenimiento manutenzione requests requêtes anfragen peticiones solicitudes
+    richieste wrong schiefgelaufen mal storto survenue verificato producido aufgetreten retry again without serverfehler""".split()
+)
 SCRIPT = re.compile(r"\b(?:java ?scripts?|scripts?|scripting|skripte?n?)\b")
 SCRIPT_WANTED = re.compile(
     r"""\b(?:enable|activate|turn (?:them|it)? ?on|switch on|disabled|need(?:s|ed)?|require[sd]?|without|cannot|active[rz]?|activez|désactivée?|sans|aktivieren|aktiviert|deaktiviert|ohne|benötigt|erforderlich|activar?|habilite|desactivado|necesita|requiere|sin|attiva(?:re)?|abilita(?:re)?|attivi|disattivato|disabilitato|senza|richiede|serve)\b"""
@@ -45,6 +53,11 @@ FILLER = re.compile(
     r"""\b(?:beispiel|platzhalter|muster|füll|blind)text\b|\bplatzhalter\b|\b(?:diesen|dieser) (?:absatz|text)\b.*\b(?:ersetzen|ersetzt)|\b(?:inhalt|text) folgt\b|\bhier steht (?:später|dann)\b|\btext hier\b|\btexto de (?:ejemplo|relleno|muestra)\b|\bsustituya este (?:párrafo|texto)\b|\breemplace este\b|\bcontenido (?:por|pendiente)\b|\btesto (?:di esempio|segnaposto|qui)\b|\bsostituire questo (?:paragrafo|testo)\b|\bcontenuto da (?:scrivere|inserire|redigere)\b|\blorem ipsum\b""",
     ))
 )
+# Words of which a message has one wherever FILLER can match.
+FILLER_WORDS = frozenset(
+    """placeholder text content paragraph written texte contenu paragraphe beispieltext platzhaltertext mustertext fülltext blindtext platzhalter absatz inhalt hier
+    texto párrafo reemplace contenido testo paragrafo contenuto lorem""".split()
+)
 FRAME = re.compile(r"^(?:error|erreur|fehler|errore|warning|!+|loading\W*|chargement\W*|cargando\W*|caricamento\W*|(?:trace|request id|ref|reference|code|id)\b[ :#].*|back to \w+|retour\b.{0,20}|zurück\b.{0,20}|volver\b.{0,20}|torna\b.{0,20}|at [\w.$<>]+\(.*\)|[^›»>]{1,30}[›>] .{1,60}|<[^>]*>)$")
 # Fixed values, in the five languages: how a sentence speaks of a slot instead of holding it. The words govern the slot: they stand directly before it
 # (a noun for marks, a verb of leaving whose subject is who writes, a verb of replacing with a value for its second object) or after it (a noun for marks only).
@@ -118,20 +131,27 @@ def has_slot(text: str) -> bool:
 
 def verdict(message: str) -> str:
     """What a message (standing for its template) is: error, script, filler, frame, title, or content."""
-    low = " ".join(re.sub(r"</?noscript>", " ", message.lower()).split())
-    low = re.sub(r"^(?:!+|loading…?)\s+", "", low)
-    ws = re.findall(r"[^\W\d_]+", low)
-    if "<noscript>" in message.lower() or (SCRIPT.search(low) and SCRIPT_WANTED.search(low) and len(ws) <= 20):
+    low, script = message.lower(), False
+    if "noscript>" in low:
+        script = "<noscript>" in low
+        low = re.sub(r"</?noscript>", " ", low)
+    low = " ".join(low.split())
+    if low[:1] == "!" or low.startswith("loading"):
+        low = re.sub(r"^(?:!+|loading…?)\s+", "", low)
+    ws = LETTERED.findall(low)
+    n = len(ws)
+    if script or n <= 20 and ("script" in low or "skript" in low) and SCRIPT.search(low) and SCRIPT_WANTED.search(low):
         return "script"
-    if FILLER.search(low) and len(ws) <= 9:
+    if n <= 9 and not FILLER_WORDS.isdisjoint(ws) and FILLER.search(low):
         return "filler"
-    if ERROR.search(low) and len(ws) <= 20:
+    if n <= 20 and (low[:1] in ("4", "5") or not ERROR_WORDS.isdisjoint(ws)) and ERROR.search(low):
         return "error"
     if FRAME.match(low):
         return "frame"
-    if len(ws) >= 4 and not DIGIT.search(low) and low[-1:] in ".!?" and not FUNCTION_WORDS & set(ws):
+    if n >= 4 and low[-1:] in ".!?" and FUNCTION_WORDS.isdisjoint(ws) and not DIGIT.search(low):
         return "filler"
-    if len(ws) >= 6 and len(set(ws)) <= 3 or len(ws) >= 3 and len(set(ws)) == 1 or len(ws) >= 2 and all(len(w) >= 3 and len(set(w)) == 1 for w in ws):
+    kinds = len(set(ws))
+    if n >= 6 and kinds <= 3 or n >= 3 and kinds == 1 or n >= 2 and all(len(w) >= 3 and len(set(w)) == 1 for w in ws):
         return "filler"
     if not ws:
         return "filler" if len(low) >= 4 and len(set(low)) == 1 and low[0] not in "-=*#_~|+" else "frame"

@@ -113,6 +113,17 @@ def test_verdicts():
     assert {k: verdict(k) for k in want} == want
 
 
+def test_guard_words_hide_nothing():
+    """Messages that the patterns match pass the words that guard them."""
+    from foliary.llm import residue as m
+
+    said = "error 404|bad gateway|fehler 500|interner serverfehler|page not found|page introuvable|la page n'existe plus|seite nicht gefunden|página no existe|pagina non trovata|it no longer exists or has|request timed out|délai expiré|zeitüberschreitung|tiempo de espera|tempo scaduto|temporarily unavailable|momentanément indisponible|derzeit nicht erreichbar|no disponible temporalmente|servizio non disponibile|session expired|session a expiré|sitzung abgelaufen|sesión caducado|sessione scaduta|access denied|no permission to|accès refusé|zugriff verweigert|acceso denegado|accesso negato|scheduled maintenance|maintenance en cours|wartungsarbeiten|mantenimiento programado|too many requests|trop de requêtes|zu viele anfragen|demasiadas peticiones|troppe richieste|something went wrong|algo salió mal|qualcosa è andato storto|une erreur est survenue|si è verificato un errore|se ha producido un error|ein fehler ist aufgetreten|slow down and retry|try again later|cannot run without"
+    assert [x for x in said.split("|") if not m.ERROR.search(x) or m.ERROR_WORDS.isdisjoint(m.LETTERED.findall(x))] == []
+    fill = "sample text|text goes here|replace your content|to be written|texte d'exemple|contenu à compléter|remplacez ce paragraphe|faux texte|blindtext|diesen absatz ersetzen|inhalt folgt|hier steht später|texto de relleno|sustituya este párrafo|reemplace este|contenido por|testo di esempio|sostituire questo paragrafo|contenuto da scrivere|lorem ipsum|platzhalter"
+    assert [x for x in fill.split("|") if not m.FILLER.search(x) or m.FILLER_WORDS.isdisjoint(m.LETTERED.findall(x))] == []
+    assert verdict(" ".join(["bla"] * 900)) == "filler"
+
+
 def test_a_verdict_stands_for_its_own_template_only(spark):
     one, two = "This page was not found on the server.", "This page was not signed by the inspector."
     df = spark.createDataFrame([(1, one), (2, two), (3, "Error 404 in the log"), (4, "Error 12 in the log book of the crew was closed.")], "doc_id long, text string")
