@@ -73,8 +73,8 @@ VALUE_AFTER = re.compile(r"(?i)^[\"'”“»]?\s*(?:with|by|par|durch|por|con)\s
 MARK_AFTER = re.compile(r"(?i)^[\"'”“»]?\s*(?:(?:is|are|est|ist|es|è)\s+(?:(?:only|just)\s+)?(?:a|an|un|une|ein)\s+)?(?:placeholders?|platzhalter|segn[ai]posto)\b")
 AND = re.compile(r"(?i)\s*(?:,|\b(?:or|and|ou|et|oder|und|o|y|e)\b)\s*")
 SLOT = re.compile(
-    r"""\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}|<%[^<>\n]{1,60}%>|[$\#]\{[^{}\n]{1,60}\}|\{[A-Za-z][\w.]{1,40}\}|\[\[[^\[\]\n]{1,60}\]\]|<<[^<>\n]{1,60}>>|«[\w.]{2,40}»|@@[^@\s]{1,40}@@|\$\$[^$\s]{1,40}\$\$|(?<![^\W_])__[^\W_][\w.]{0,40}?__(?![^\W_])|%[^\W\d_][\w.]{1,40}%
-    |<[A-Z][A-Z_ ]{1,40}>|<[a-z]+_[a-z_]+>|&lt;[^&<>\n]{1,40}&gt;|\bXX/XX/X{2,4}\b|\[(?:[A-ZÀ-Ü]{2,}|[ÀÉ])(?:[ :]+[A-ZÀ-Ü]{2,})+\]|\[(?:your|votre|ihre?|su|il tuo)\b[^\[\]\n]{1,40}\]|\[(?:insert|enter|add|fill in|saisir|insérer|compléter|einfügen|eintragen|insertar|rellenar|inserire)\b[^\[\]\n]{0,40}\]|(?<!_)_{5,}(?!_)|\b(?:TBD|TBC|TODO|FIXME)\b""",
+    r"""(?=[{<$\#\[«@_%&XTF])(?:\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}|<%[^<>\n]{1,60}%>|[$\#]\{[^{}\n]{1,60}\}|\{[A-Za-z][\w.]{1,40}\}|\[\[[^\[\]\n]{1,60}\]\]|<<[^<>\n]{1,60}>>|«[\w.]{2,40}»|@@[^@\s]{1,40}@@|\$\$[^$\s]{1,40}\$\$|(?<![^\W_])__[^\W_][\w.]{0,40}?__(?![^\W_])|%[^\W\d_][\w.]{1,40}%
+    |<[A-Z][A-Z_ ]{1,40}>|<[a-z]+_[a-z_]+>|&lt;[^&<>\n]{1,40}&gt;|\bXX/XX/X{2,4}\b|\[(?:[A-ZÀ-Ü]{2,}|[ÀÉ])(?:[ :]+[A-ZÀ-Ü]{2,})+\]|\[(?:your|votre|ihre?|su|il tuo)\b[^\[\]\n]{1,40}\]|\[(?:insert|enter|add|fill in|saisir|insérer|compléter|einfügen|eintragen|insertar|rellenar|inserire)\b[^\[\]\n]{0,40}\]|(?<!_)_{5,}(?!_)|\b(?:TBD|TBC|TODO|FIXME)\b)""",
     re.X,
 )
 #: The same places, loosely, for the engine to see which texts need the search at all.
@@ -108,7 +108,7 @@ class TemplateTree:
         if out is None:
             if self.size >= self.most:  # later messages only make their templates anew
                 self.root, self.size, leaf = {}, 0, {}
-            out = leaf[found] = verdict(found)
+            out = leaf[found] = _verdict(found)
             self.size += 1
         return out
 
@@ -131,11 +131,15 @@ def has_slot(text: str) -> bool:
 
 def verdict(message: str) -> str:
     """What a message (standing for its template) is: error, script, filler, frame, title, or content."""
-    low, script = message.lower(), False
+    return _verdict(" ".join(message.lower().split()))
+
+
+def _verdict(low: str) -> str:
+    """verdict() of a message in lower case with even spacing."""
+    script = False
     if "noscript>" in low:
         script = "<noscript>" in low
-        low = re.sub(r"</?noscript>", " ", low)
-    low = " ".join(low.split())
+        low = " ".join(re.sub(r"</?noscript>", " ", low).split())
     if low[:1] == "!" or low.startswith("loading"):
         low = re.sub(r"^(?:!+|loading…?)\s+", "", low)
     ws = LETTERED.findall(low)
