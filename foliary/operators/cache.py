@@ -14,27 +14,44 @@ def alive(entries: DataFrame, now: float) -> DataFrame:
     return entries.where(F.lit(now) - F.col("created_epoch") <= F.coalesce("ttl", F.lit(3600.0)))
 
 
-def lookup(questions: DataFrame, entries: DataFrame, now: float | None = None, least: float = 0.95, most: int = 4) -> DataFrame:
-    """query_id, entry_id, similarity: the nearest entry of the question's collection, if its cosine is at least `least`.
+def lookup(questions: DataFrame, entries: DataFrame, now: float | None = None, least: float = 0.95, most: int = 1) -> DataFrame:
+    """query_id, entry_id, similarity: the `most` nearest entries of the question's collection, if their cosine is at least `least`.
 
     questions: query_id, collection_name, embedding; entries: entry_id, collection_name, question_embedding and, with now, created_epoch and
-    ttl. Vectors are brought to unit length; unusable ones (null, wrong length, zero, not finite) take no part. One search serves all collections.
+    ttl. Vectors are brought to unit length; unusable ones (null, wrong length, zero, not finite) take no part. One search serves all collections; a question meets the entries of its own only.
     """
     e = entries if now is None else alive(entries, now)
     dim = 64
     e = e.where(V.usable("question_embedding", dim)).select(F.col("entry_id").alias("chunk_id"), "collection_name", V.normalised("question_embedding").alias("embedding"))
     q = questions.where(V.usable("embedding", dim)).select("query_id", "collection_name", V.normalised("embedding").alias("embedding"))
-    near = dense_top_k(q, e, 1, by=["collection_name"])
-    own = near.join(q.select("query_id", "collection_name"), ["query_id", "collection_name"])
-    return own.select("query_id", F.col("chunk_id").alias("entry_id"), F.round(1 - F.col("distance") / 2, 6).alias("similarity")).where(F.col("similarity") >= least)
+    near = dense_top_k(q, e, most, by=["collection_name"], within=True)
+    return near.select("query_id", F.col("chunk_id").alias("entry_id"), F.round(1 - F.col("distance") / 2, 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def evict(entries: DataFrame, now: float, share: float = 0.1) -> DataFrame:
-    """entry_id, worth, rank of the share of entries with the fewest hits for their age, which leave first."""
-    n = entries.count()
+    """entry_id, worth of the share of entries with the fewest hits for their age, which leave first."""
     age = F.greatest(F.lit(0.0), F.lit(now) - F.col("created_epoch"))
     worth = F.round(F.col("hit_count") / (age + 1), 12)
-    return entries.select("entry_id", worth.alias("worth")).orderBy("worth", "entry_id").limit(int(n * share))
+    rows = entries.select("entry_id", worth.alias("worth"))
+    near = 1e-3  # a bracket around the cut: what is below it leaves unsorted, only what is within is put in order
+    lo, hi, n = rows.agg(F.percentile_approx("worth", max(0.0, share - near), 10_000), F.percentile_approx("worth", min(1.0, share + near), 10_000), F.count("*")).first()
+    if not int(n * share):
+        return rows.limit(0)
+    below = rows.where((F.col("worth") < lo) | F.col("worth").isNull())
+    rest = rows.where((F.col("worth") >= lo) & (F.col("worth") <= hi)).orderBy("worth", "entry_id").limit(max(0, int(n * share) - below.count()))
+    return below.union(rest)
+
+
+def invalidate(entries: DataFrame, collection: str | None = None) -> DataFrame:
+    """The entries that stay when those of a collection, or (None) all, are dropped."""
+    return entries.limit(0) if collection is None else entries.where(~F.col("collection_name").eqNullSafe(collection))
+
+
+def event_statistics(events: DataFrame) -> DataFrame:
+    """hits, misses, evictions, hit_rate (three places) of a log of cache events (event: hit, miss or evict)."""
+    n = {k: F.count(F.when(F.col("event") == e, 1)) for k, e in (("hits", "hit"), ("misses", "miss"), ("evictions", "evict"))}
+    rate = F.when(n["hits"] + n["misses"] > 0, F.round(n["hits"] / (n["hits"] + n["misses"]), 3)).otherwise(0.0)
+    return events.agg(*[c.alias(k) for k, c in n.items()], rate.alias("hit_rate"))
 
 
 def statistics(entries: DataFrame, now: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliary.functions import text as T
 from foliary.operators import context, evaluate, rerank, search, understand
 from foliary.plans.providers import Embedder, embed, extractive_generator, generate, hash_embedder
-from foliary.session import materialize
+from foliary.session import materialize, scratch_path
 
 
 def ingest(texts: DataFrame, id_col: str, text_col: str, source_col: str, embedder: Embedder | None = None, target: int = 1500) -> DataFrame:
@@ -38,13 +38,10 @@ def ask(questions: DataFrame, corpus: DataFrame, k: int = 10, embedder: Embedder
     if "embedding" not in q.columns:
         q = embed(q, "question", embedder or hash_embedder(), "query")
     q = materialize(q, "questions")
-    index = materialize(search.postings(corpus), "postings")
-    dense, sparse = search.dense_top_k(q, corpus, 2 * k), search.bm25(q, index, 2 * k)
-    fused = None
-    for (d, s), names in _weights().items():
-        some = q.where(F.col("intent").isin(names)).select("query_id")
-        part = search.fuse(dense.join(some, "query_id", "left_semi"), sparse.join(some, "query_id", "left_semi"), k, d, s)
-        fused = part if fused is None else fused.union(part)
+    index = search.LexicalIndex(q.sparkSession, scratch_path(q.sparkSession, "lexical")).build(corpus)
+    named = F.create_map([y for name, (d, s) in understand.WEIGHTS.items() for y in (F.lit(name), F.array(F.lit(float(d)), F.lit(float(s))))])
+    weights = q.select("query_id", named[F.col("intent")].alias("w")).select("query_id", F.col("w")[0].alias("dense_weight"), F.col("w")[1].alias("sparse_weight"))
+    fused = search.fuse(search.dense_top_k(q, corpus, 2 * k), index.search(q, 2 * k), k, weights=weights)
     found = fused.join(corpus.drop("embedding"), "chunk_id").join(q.select("query_id", "question", "entities"), "query_id")
     ordered = rerank.section_boost(found, F.col("entities"))
     placed = rerank.lost_in_middle(ordered, how).withColumn("rank", F.col("position"))
@@ -53,13 +50,6 @@ def ask(questions: DataFrame, corpus: DataFrame, k: int = 10, embedder: Embedder
     return evaluate.metrics(generate(out, "question", "context", generator))
 
 
-def _weights() -> dict[tuple[float, float], list[str]]:
-    out: dict[tuple[float, float], list[str]] = {}
-    for name, w in understand.WEIGHTS.items():
-        out.setdefault(w, []).append(name)
-    return out
-
-
 def ask_collections(questions: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """query_id, context: the k best of every collection, merged by reciprocal ranks, best first."""
     found = search.dense_top_k(questions, corpus, k, by=["collection"])

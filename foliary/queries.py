@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from foliary.functions import text as T
 from foliary.functions import vectors as V
 from foliary.operators import cache, context, evaluate, feedback, rerank, search, understand
 from foliary.plans import oracle as O
-from foliary.session import materialize, spread
+from foliary.session import materialize, scratch_path, shared_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,8 +68,15 @@ def answered_questions(spark, d):
     return rows.select(F.col("entry_id").alias("query_id"), "question", F.col("question_embedding").alias("embedding"))
 
 
+def chunk_index(spark, d) -> search.LexicalIndex:
+    """The index over the chunks, kept in the session's folder and built anew only when the table has changed."""
+    chunks = table(spark, d, "chunks").select(F.col("chunk_key").alias("chunk_id"), "text", "ingested_at")
+    path = f"{shared_dir(spark)}/foliary-lexical-{hashlib.md5(d.encode()).hexdigest()[:12]}"
+    return search.LexicalIndex(spark, path).fresh(chunks, version="ingested_at")
+
+
 def lexical(spark, d, k=30):
-    return search.bm25(text_questions(spark, d), materialize(search.postings(chunk_corpus(spark, d)), "postings"), k)
+    return chunk_index(spark, d).search(text_questions(spark, d), k)
 
 
 def feedback_rows(spark, d):
@@ -166,7 +174,7 @@ def hybrid_rrf(spark, d):
 def multi_query_merge(spark, d):
     q, c = answered_questions(spark, d), answered(spark, d)
     dense = search.dense_top_k(q, c, 20).select("query_id", "chunk_id", F.round(V.score("distance"), 9).alias("score"))
-    sparse = search.bm25(q, materialize(search.postings(c), "postings"), 20).select("query_id", "chunk_id", F.round(1 - F.col("rank") / 20, 9).alias("score"))
+    sparse = search.LexicalIndex(spark, scratch_path(spark, "lexical")).build(c).search(q, 20).select("query_id", "chunk_id", F.round(1 - F.col("rank") / 20, 9).alias("score"))
     out = search.merge_results(dense.union(sparse).withColumn("path", F.lit(None).cast("string")).withColumn("text", F.lit("")), 20)
     return out.select("query_id", "key", "hits", F.round("score", 6).alias("score"))
 
@@ -735,11 +743,8 @@ def cache_lookup(spark, d):
     near = cache.lookup(q, others, least=-1.0)
     # entries of the question set itself are looked up among one another without the entry asked about
     own = e.where("entry_id % 20 = 0")
-    unit = own.where(V.usable("question_embedding", 64)).select("entry_id", "collection_name", V.normalised("question_embedding").alias("embedding"))
-    both = search.dense_top_k(unit.select(F.col("entry_id").alias("query_id"), "embedding"), unit.select(F.col("entry_id").alias("chunk_id"), "embedding", "collection_name"), 2, by=["collection_name"])
-    both = both.join(unit.select(F.col("entry_id").alias("query_id"), "collection_name"), ["query_id", "collection_name"]).where("query_id <> chunk_id")
-    rows = near.union(both.select("query_id", F.col("chunk_id").alias("entry_id"), F.round(1 - F.col("distance") / 2, 6)))
-    best = search.ranked(rows, ["query_id"], [F.desc("similarity"), F.col("entry_id")], 1)
+    both = cache.lookup(q, own, least=-1.0, most=2).where("query_id <> entry_id")
+    best = search.ranked(near.union(both), ["query_id"], [F.desc("similarity"), F.col("entry_id")], 1)
     return best.where("similarity >= 0.95").select("query_id", "entry_id", "similarity")
 
 
