@@ -44,6 +44,23 @@ CHUNK_SIZES = {"very_dense": 800, "dense": 1200, "normal": 1500, "sparse": 2000}
 # What marks a sentence that defines or requires.
 DEFINES = r"(?i)means|is defined as|refers to|shall be|is the"
 REQUIRES = r"(?i)shall|must|require|mandatory"
+# Signs of a dense text (pattern, count that must be exceeded, weight); the words of a short sentence; the weight of mostly short ones.
+DENSE_SIGNS = (
+    (r"(?i)\b(?:FCL|CAT|ORO|Part|AMC)\.\w+", 2, 0.3),
+    (r"(?i)[0-9]+\s*(?:heures?|h|ans?|jours?|mois|%)", 3, 0.2),
+    (r"(?m)^\s*[-–—•(]\s*", 5, 0.2),
+)
+SHORT_SENTENCE, SHORT_WEIGHT = 15, 0.3
+# Families of references (name, pattern), the reference as all groups that are not empty.
+REFERENCE_FAMILIES = (
+    ("regulation", r"(?i)\b((?:CS(?:-[A-Z]+)?|AMC[0-9]{0,2}|GM[0-9]{0,2})[-\s]?[0-9]+[A-Z]?(?:[.\-][0-9]+[A-Za-z]?)?(?:\([a-z0-9]+\))*)"),
+    ("operations", r"(?i)\b((?:CAT|ORO|SPA|NCO|NCC|SPO)\.[A-Z]+(?:\.[A-Z]+)*\.[0-9]+)"),
+    ("licensing", r"(?i)\b(FCL[.\-]?[0-9]+(?:\.[A-Z]+)?)"),
+    ("introduced", r"(?i)(?:see|refer\s+to|in\s+accordance\s+with|as\s+per|per|according\s+to|compliance\s+with|compliant\s+with)\s+((?:CS(?:-[A-Z]+)?|AMC[0-9]{0,2}|GM[0-9]{0,2})[-\s]?[0-9]+[A-Z]?(?:[.\-][0-9]+[A-Za-z]?)?)"),
+    ("foreign", r"(?i)\b((?:FAR|JAR|FAA)[-\s]?[0-9]+(?:[.\-][0-9]+)*)"),
+    ("internal", r"(?i)(?:paragraph|sub-paragraph|section|point|alinéa)\s*(\([a-z0-9]+\)(?:\([a-z0-9]+\))?)"),
+    ("appendix", r"(?i)(Appendix\s+[A-Z0-9]+)"),
+)
 REGULATION_REF = r"(?i)(?:CS|AMC|GM)[-\s]?\d+(?:[.\-]\d+)*[A-Za-z]?"
 
 
@@ -134,16 +151,12 @@ def adaptive_size(kind: Column, base: int = 1500, least: int = 600, most: int =
 
 
 def semantic_density(text: Column | str) -> Column:
-    """0.3 for more than 2 references, 0.2 for more than 3 measured numbers, 0.2 for more than 5 list marks, 0.3 for short sentences."""
+    """The weights of the signs of density that a text shows, and of mostly short sentences."""
     t = F.coalesce(_c(text), F.lit(""))
-    sentences = F.filter(F.transform(F.split(t, r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
-    short = F.size(F.filter(sentences, lambda s: F.length(s) < 50)) / F.greatest(F.size(sentences), F.lit(1))
-    return (
-        F.when(_count(t, REGULATION_REF) > 2, 0.3).otherwise(0.0)
-        + F.when(_count(t, r"[0-9]+(?:[.,][0-9]+)?[ ]*(?:kg|mm|kN|bar|V|A|Hz|dB|mA|kPa|L/min|kg/s)") > 3, 0.2).otherwise(0.0)
-        + F.when(_count(t, r"(?m)^[ \t]*(?:[-*•]|[0-9]+[.)]|\([a-z0-9]\))") > 5, 0.2).otherwise(0.0)
-        + F.when(short > 0.5, 0.3).otherwise(0.0)
-    )
+    words_of = F.transform(F.split(t, "[.!?]", -1), lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")))
+    short = F.size(F.filter(words_of, lambda n: n < SHORT_SENTENCE)) / F.size(words_of)
+    shown = [F.when(_count(t, p) > most, weight).otherwise(0.0) for p, most, weight in DENSE_SIGNS]
+    return sum(shown, F.when(short > 0.5, SHORT_WEIGHT).otherwise(0.0))
 
 
 def is_suspect(text: Column | str, least: int = 500) -> Column:
@@ -245,6 +258,120 @@ def refers_to(text: Column | str) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.upper(x), r"[ \-]", "")))
 
 
+def references(text: Column | str) -> Column:
+    """Array of (ref, family, position): the references of all families, each normalised id (upper case, no spaces or hyphens) once, by the
+    first family and place that has it; positions count from 1."""
+    t = F.coalesce(_c(text), F.lit(""))
+
+
+    def found(name: str, pattern: str) -> Column:
+        at = lambda x: F.instr(t, x).alias("position")
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), 1), lambda x: F.struct(F.regexp_replace(F.upper(x), r"[\s\-]", "").alias("ref"), F.lit(name).alias("family"), at(x)))
+
+    every = F.concat(*[found(name, p) for name, p in REFERENCE_FAMILIES])
+    names = F.array_distinct(F.transform(every, lambda x: x["ref"]))
+    return F.transform(names, lambda n: F.element_at(F.filter(every, lambda x: x["ref"] == n), 1))
+
+
+def chunk_metadata(text: Column | str) -> Column:
+    """has_header, list_items, refs (distinct, in order), word_density of a chunk."""
+    t = F.coalesce(_c(text), F.lit(""))
+    header = _any(t, (r"(?m)^(?:[0-9]+\.)+\s+[A-ZÀÉÈ]", r"(?mi)^(?:Article|Chapitre|Chapter)\s+[0-9]+", r"(?mi)^(?:CS|AMC|GM)(?:[0-9]{0,2}|-[A-Z]+)?[\s\-]+[0-9]+", r"(?m)^(?:Annex|Annexe|Appendix|APPENDIX)\s+[A-Z0-9]+"))
+    items = sum((_count(t, p) for p in (r"(?m)^\s*[-–—•]\s+", r"(?m)^\s*\([a-z]\)\s+", r"(?m)^\s*[0-9]+\)\s+")), F.lit(0))
+    refs = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?i)\b(?:FCL|CAT|ORO|NCO|AMC|GM|CS|Part)[.\-]?[0-9]+(?:\.[A-Z]+\.[0-9]+)?"), 0))
+    n = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    return F.struct(header.alias("has_header"), items.alias("list_items"), refs.alias("refs"), (n / F.greatest(F.length(t), F.lit(1))).alias("word_density"))
+
+
+def enriched(text: Column | str, keywords: Column) -> Column:
+    """The text under a line of its keywords; without keywords the text itself. It is for reading: what is embedded is the text."""
+    return F.when(F.size(F.coalesce(keywords, F.array().cast("array<string>"))) > 0, F.concat(F.lit("[Keywords: "), F.array_join(keywords, " | "), F.lit("]\n\n"), _c(text))).otherwise(_c(text))
+
+
+# What a generator's failure says.
+FAILED_ANSWERS = ("ERREUR DE COMMUNICATION AVEC LE LLM", "Le serveur n'a pas pu répondre", "Veuillez reposer votre question")
+
+
+def failed_answer(answer: Column | str) -> Column:
+    """Whether an answer is the message of a generator that failed; null and empty answers are not."""
+    return F.coalesce(_any_of(_c(answer), FAILED_ANSWERS), F.lit(False))
+
+
+def _any_of(c: Column, parts) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | c.contains(p)
+    return out
+
+
+# Frequent function words by language.
+FUNCTION_WORDS = {
+    "en": "the and of to is with for by that be shall are this from".split(),
+    "fr": "le la les des et du une est pour dans sur avec par que".split(),
+    "de": "der die das und mit ist von nicht den im wird für auf ein".split(),
+    "es": "el los las y una con para se del que por su como más".split(),
+    "it": "il gli di che una per con della si nel sono del come più".split(),
+}
+
+
+def language(text: Column | str, least: int = 50) -> Column:
+    """The language whose function words a text has most (ties in the order of the table), unk for short texts and for those without any.
+
+    Whole texts are read. Words of two languages count for both.
+    """
+    t = _c(text)
+    ws = words(t)
+    count = lambda v: F.size(F.filter(ws, lambda w: w.isin(v)))
+    n = {lang: count(v) for lang, v in FUNCTION_WORDS.items()}
+    top = F.greatest(*n.values())
+    out = F.lit("unk")
+    for lang in reversed(list(n)):
+        out = F.when(n[lang] == top, lang).otherwise(out)
+    return F.when(t.isNull() | (F.length(t) < least) | (top == 0), "unk").otherwise(out)
+
+
+def clean_file_name(name: Column | str) -> Column:
+    """A file name of plain letters, digits, dots, hyphens and underscores: marks of letters go, other signs become one underscore."""
+    plain = F.translate(F.coalesce(_c(name), F.lit("")), *ACCENTS)
+    return F.regexp_replace(F.regexp_replace(plain, r"[^A-Za-z0-9._\-]+", "_"), r"^_+|_+$", "")
+
+
+def offline_context(context: Column | str, most: int = 8000) -> Column:
+    """A context for a small local model: cut at `most` characters with a mark, block headers with numbered chunks gone, gaps made even."""
+    c = F.coalesce(_c(context), F.lit(""))
+    cut = F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("\n[...]"))).otherwise(c)
+    bare = F.regexp_replace(cut, r"\[source=[^\]]*chunk=[0-9]+[^\]]*\]\n?", "")
+    return F.trim(F.regexp_replace(bare, r"\n{3,}", "\n\n"))
+
+
+def sub_questions(reply: Column | str, question: Column | str, most: int = 5) -> Column:
+    """The lines of a generator's reply that are long enough for a question (over ten characters), numbering taken away; else the question."""
+    lines = F.transform(F.split(F.coalesce(_c(reply), F.lit("")), "\n"), lambda s: F.trim(F.regexp_replace(s, r"^\s*(?:[0-9]+[.)]|[-*•])\s*", "")))
+    good = F.slice(F.filter(lines, lambda s: F.length(s) > 10), 1, most)
+    return F.when(F.size(good) > 0, good).otherwise(F.array(_c(question)))
+
+
+def wiki_base(url: Column | str) -> Column:
+    """(base, context) of a wiki address: the context path is that before the first known marker."""
+    u = _c(url)
+    base = F.regexp_extract(u, r"^(https?://[^/]+)", 1)
+    return F.struct(base.alias("base"), F.regexp_extract(u, r"^https?://[^/]+(/[^/]+)?/(?:spaces|display|pages|rest|x)(?:/|$)", 1).alias("context"))
+
+
+def valid_path(path: Column | str) -> Column:
+    """A path that does not climb out of its folder."""
+    p = _c(path)
+    return F.coalesce((F.trim(p) != "") & ~p.rlike(r"(?:^|[/\\])\.\.(?:[/\\]|$)"), F.lit(False))
+
+
+def ocr_route(quality: Column, has_engine: Column, forced: Column, confidence: Column, threshold: float = 0.5) -> Column:
+    """Which text of a file is kept: classic, classic_fallback (bad, but nothing to read it with), llm_ocr (forced, or bad and read better)
+    or classic_kept (bad, but the reading was no better)."""
+    bad = F.coalesce(quality, F.lit(0.0)) < threshold
+    better = F.coalesce(confidence, F.lit(0.0)) > F.coalesce(quality, F.lit(0.0))
+    return F.when(~has_engine, F.when(bad, "classic_fallback").otherwise("classic")).when(forced, "llm_ocr").when(~bad, "classic").when(better, "llm_ocr").otherwise("classic_kept")
+
+
 def file_name(path: Column | str) -> Column:
     return F.element_at(F.split(_c(path), "/"), -1)
 

@@ -63,3 +63,49 @@ def section_chunks(df, id_col, text_col, section_col, title_col, size=1500, leas
 
 def parent_child_chunks(df, id_col, text_col, source_col):
     return chunk(df, id_col, text_col, lambda t, s: S.parent_child(t, s), source_col)
+
+
+def merged_section_chunks(sections: DataFrame, id_col: str, size: int = 1500, least: int = 200) -> DataFrame:
+    """id, chunk_no, section_id, text, merged: chunks of the sections of each document in order, small neighbours sharing one.
+
+    sections: id_col, section_no, section_id, kind, title, body. The sections of one document meet in one task, as its text did before.
+    """
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("section_no")
+        found = S.section_list(list(zip(*(t[c].to_pylist() for c in ("section_id", "kind", "title", "body")))), size, least)
+        cols = [[key[0].as_py()] * len(found), range(len(found)), [p.extra["section_id"] for p in found], [p.text for p in found], [p.extra["merged"] for p in found]]
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
+        return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("id", "chunk_no", "section_id", "text", "merged"), cols, kinds)})
+
+    rows = sections.select(F.col(id_col).cast("long").alias("id"), "section_no", "section_id", "kind", "title", "body")
+    return rows.groupBy("id").applyInArrow(run, "id long, chunk_no int, section_id string, text string, merged array<string>")
+
+
+def adaptive_smart_chunks(df: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: list[str], base: int = 1500, least: int = 100, hierarchy: bool = False) -> DataFrame:
+    """id, chunk_no, text, density_type, chunk_size, keywords, enriched_text, key_phrases: chunks whose size follows the density of their text.
+
+    Texts under `least` characters give none. With hierarchy, parents of twice that size and their children come instead. The size is an
+    expression on the row; the cutting itself is one pass over Arrow batches.
+    """
+    from foliary.functions import text as T
+
+    score = T.density_score(text_col, vocabulary)
+    rows = df.where(F.length(F.trim(text_col)) >= least).withColumn("_kind", T.density_type(text_col, score))
+    rows = rows.withColumn("_size", T.adaptive_size(F.col("_kind"), base).cast("string"))
+
+    def cut(text: str, source: str, size: str) -> list:
+        n = int(size)
+        return S.parent_child(text, source, 2 * n, 200, n, 100) if hierarchy else S.generic(text, source, n)
+
+    made = chunk(rows, id_col, text_col, cut, source_col, "_size")
+    kinds = rows.select(F.col(id_col).cast("long").alias("id"), F.col("_kind").alias("density_type"), F.col("_size").cast("int").alias("chunk_size")).distinct()
+    return augmented(made.join(kinds, "id"), "text")
+
+
+def augmented(chunks: DataFrame, text_col: str = "text", most: int = 10) -> DataFrame:
+    """chunks with keywords, enriched_text (for reading; the text is what is embedded) and key_phrases."""
+    from foliary.functions import text as T
+
+    keys = F.slice(T.question_keywords(text_col, 4), 1, most)
+    return chunks.withColumn("keywords", keys).withColumn("enriched_text", T.enriched(text_col, F.col("keywords"))).withColumn("key_phrases", T.key_phrases(text_col))

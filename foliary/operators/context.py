@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
@@ -71,3 +71,59 @@ def related_chunks(chunks: DataFrame, id_col: str, text_col: str, section_col: s
     first = behind.withColumn("n", F.row_number().over(Window.partitionBy("ref").orderBy("dst"))).where(F.col("n") <= most + 1)
     met = edges.join(first.select("dst", "ref"), "ref").where("src <> dst").select("src", "dst").distinct()
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).where(F.col("rank") < most)
+
+
+def block_header(distance: str = "distance") -> Column:
+    """[source=…, section=… (title), chunk=…, dist=0.000]: titles are cut at 40 characters."""
+    title = F.when(F.length("section_title") > 40, F.concat(F.lit(" ("), F.substring("section_title", 1, 40), F.lit("...)"))).when(F.length("section_title") > 0, F.concat(F.lit(" ("), F.col("section_title"), F.lit(")"))).otherwise("")
+    section = F.when(F.coalesce(F.length("section_id"), F.lit(0)) > 0, F.concat(F.lit(", section="), F.col("section_id"), title)).otherwise("")
+    far = F.format_string("%.3f", F.col(distance).cast("double"))
+    return F.concat(F.lit("[source="), F.coalesce("source_file", F.lit("")), section, F.lit(", chunk="), F.coalesce(F.col("chunk_id").cast("string"), F.lit("")), F.lit(", dist="), far, F.lit("]"))
+
+
+def context_blocks(sources: DataFrame, by: str = "query_id") -> DataFrame:
+    """context: the sources of a question in order of rank, each under its header; null texts are empty blocks.
+
+    sources: by, rank, source_file, section_id, section_title, chunk_id, distance, text: as many a question as were retrieved.
+    """
+    block = F.concat(block_header(), F.lit("\n"), F.coalesce("text", F.lit("")))
+    rows = sources.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", block.alias("block")))).alias("b"))
+    return rows.select(by, F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context"))
+
+
+def collections_context(sources: DataFrame, by: str = "query_id") -> DataFrame:
+    """context: one block for each collection (by name), headed by it, its sources by rank within."""
+    one = sources.groupBy(by, "collection").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.concat(block_header(), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("block")))).alias("b"))
+    part = F.concat(F.lit("=== CONTEXTE "), F.col("collection"), F.lit(" ===\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"))
+    rows = one.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("collection", part.alias("part")))).alias("p"))
+    return rows.select(by, F.array_join(F.transform("p", lambda x: x["part"]), "\n\n").alias("context"))
+
+
+def retrieved_references(sources: DataFrame, first: int = 15, most: int = 5, by: str = "query_id") -> DataFrame:
+    """by, chunk_id, place: among a question's sources beyond the first, those (at most `most`, by rank) whose section the first refer to."""
+    asked = sources.where(F.col("rank") < first).select(by, F.explode(T.refers_to("text")).alias("ref")).distinct()
+    later = sources.where(F.col("rank") >= first).select(by, "chunk_id", "rank", F.regexp_replace(F.upper("section_id"), r"[\s\-]", "").alias("ref"))
+    met = later.join(asked, [by, "ref"], "left_semi")
+    return met.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("rank", "chunk_id")) - 1).where(F.col("place") < most).select(by, "chunk_id", "place")
+
+
+def neighbour_window(chunks: DataFrame, by: list[str], order: list[str], n: int = 1, text: str = "text", most: int = 200) -> DataFrame:
+    """expanded_text of every chunk: up to n neighbours on each side within its source, cut at `most` characters, and the chunk itself, under three labels."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    cut = lambda c: F.concat(F.substring(c, 1, most), F.lit("..."))
+    before = F.array_compact(F.array(*[cut(F.lag(F.coalesce(text, F.lit("")), i).over(w)) for i in range(n, 0, -1)]))
+    after = F.array_compact(F.array(*[cut(F.lead(F.coalesce(text, F.lit("")), i).over(w)) for i in range(1, n + 1)]))
+    out = chunks.withColumn("_b", before).withColumn("_a", after)
+    parts = F.array(
+        F.when(F.size("_b") > 0, F.concat(F.lit("[CONTEXTE PRÉCÉDENT]\n"), F.array_join("_b", " "), F.lit("\n"))),
+        F.concat(F.lit("[CONTENU PRINCIPAL]\n"), F.coalesce(text, F.lit("")), F.lit("\n")),
+        F.when(F.size("_a") > 0, F.concat(F.lit("[CONTEXTE SUIVANT]\n"), F.array_join("_a", " "))),
+    )
+    return out.withColumn("expanded_text", F.array_join(F.array_compact(parts), "\n")).drop("_b", "_a")
+
+
+def with_previous(chunks: DataFrame, by: list[str], order: list[str], text: str = "text", most: int = 100) -> DataFrame:
+    """text_in_context: each chunk after the last characters of the one before it in its source."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    tail = F.lag(F.expr(f"right({text}, {most})")).over(w)
+    return chunks.withColumn("text_in_context", F.when(F.coalesce(F.length(tail), F.lit(0)) > 0, F.concat(F.lit("[..."), tail, F.lit("]\n\n"), F.coalesce(text, F.lit("")))).otherwise(F.coalesce(text, F.lit(""))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliary.functions.text import WORDS
@@ -194,3 +194,25 @@ def evidence(pairs: DataFrame, id_col: str, answer: str, context: str, least: fl
     share = F.size(F.array_intersect("t", F.array_distinct(grounding_tokens("e")))) / F.size("t")
     w = Window.partitionBy("id", "pos").orderBy("evidence_pos")
     return b.where(F.size("t") > 0).where(share >= least).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("id", "pos", "evidence_pos")
+
+
+def store_metrics(new: DataFrame, path: str) -> None:
+    """Append rows of metrics to the store at a path, with the order of their insertion (seq) after what is there."""
+    spark = new.sparkSession
+    held = load_metrics(spark, path)
+    last = held.agg(F.max("seq")).first()[0] if held is not None else None
+    placed = new.withColumn("seq", F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1))
+    placed.write.mode("append").parquet(path)
+
+
+def load_metrics(spark: SparkSession, path: str) -> DataFrame | None:
+    """The store at a path, or None where there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return spark.read.parquet(path) if there else None
+
+
+def store_summary(stored: DataFrame, names: list[str], last: int | None = None) -> DataFrame:
+    """n, the means of the named scores (three places), first and last timestamp by insertion; of the last rows only, if asked."""
+    rows = stored if last is None else stored.orderBy(F.desc("seq")).limit(last)
+    return rows.agg(F.count("*").alias("n"), *[F.round(F.avg(k), 3).alias(f"mean_{k}") for k in names], F.min_by("timestamp", "seq").alias("first"), F.max_by("timestamp", "seq").alias("last"))

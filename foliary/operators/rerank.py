@@ -62,3 +62,8 @@ def feedback_rerank(sources: DataFrame, boosts: DataFrame, alpha: float = 0.3, b
     out = sources.join(boosts.select(by, "boost"), by, "left")
     new = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") * (1 + alpha * F.coalesce("boost", F.lit(0.0)))))
     return ranked(out.withColumn("score", F.round(new, 4)).withColumnRenamed("rank", "prior"), [by], [F.desc("score"), F.col("prior")])
+
+
+def federated_rerank(merged: DataFrame, score: Column | None = None, k: int = 10, by: str = "query_id") -> DataFrame:
+    """The k best of a list merged over collections by a relevance score (a column, say a scorer's); without one the merged order stays."""
+    return rerank(merged, score, k, by)

@@ -20,3 +20,62 @@ def split_sections(df: DataFrame, id_col: str, text_col: str, header: str) -> Da
         F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("no", "line")))).alias("x"),
     )
     return rows.select(id_col, (F.col("sec") - 1).cast("int").alias("section_no"), "section_id", "title", F.trim(F.array_join(F.transform("x", lambda v: v["line"]), "\n")).alias("body"))
+
+
+# Forms of a section code in structured files, by name; the code is group 1.
+CODE_FORMS = {
+    "cs": r"(?i)(CS[-\s]?[0-9]+[A-Z]?[-.]?[0-9]+(?:\.[0-9]+)?(?:\s*\([a-z]\))?)",
+    "amc": r"(?i)(AMC[-\s]?[0-9]+[A-Z]?[-.]?[0-9]+(?:\.[0-9]+)?(?:\s*\([a-z]\))?)",
+    "cs_e": r"(?i)(CS[-\s]?E[-\s]?[0-9]+(?:\.[0-9]+)?(?:\s*\([a-z]\))?)",
+    "cs_apu": r"(?i)(CS[-\s]?APU[-\s]?[0-9]+(?:\.[0-9]+)?(?:\s*\([a-z]\))?)",
+    "gm": r"(?i)(GM[-\s]?[0-9]+[A-Z]?[-.]?[0-9]+(?:\.[0-9]+)?(?:\s*\([a-z]\))?)",
+    "all": r"(?i)((?:CS[-\s]?[0-9]+[A-Z]?[-.]?[0-9]+|AMC[-\s]?[0-9]+[A-Z]?[-.]?[0-9]+|CS[-\s]?E[-\s]?[0-9]+|CS[-\s]?APU[-\s]?[0-9]+|GM[-\s]?[0-9]+[A-Z]?[-.]?[0-9]+)(?:\.[0-9]+)?(?:\s*\([a-z]\))?)",
+}
+
+
+def code_sections(df: DataFrame, id_col: str, text_col: str, form: str = CODE_FORMS["all"]) -> DataFrame:
+    """id, section_no (from 0), code, title, body: a section runs from a code, wherever it stands, to the next one; what stands before the
+    first is left out. The title is the rest of the code's line, else the line after it, cut at 100 characters. A text without a code is one
+    section DOCUMENT without a title; null texts give none. Each text is cut within its row: nothing is exchanged."""
+    mark = "\u0001"
+    parts = F.split(F.regexp_replace(text_col, form, mark + "$1"), mark)
+    has = F.size(parts) > 1
+    rows = df.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.when(has, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(parts)).alias("section_no", "body"), has.alias("_has"))
+    code = F.regexp_extract("body", form, 1)
+    lines = F.split(F.substring("body", F.length(code) + 1, F.length("body")), "\n")
+    line = lambda i: F.coalesce(F.trim(F.regexp_replace(F.get(lines, F.lit(i)), r"[\r\t]", " ")), F.lit(""))
+    title = F.substring(F.when(line(0) != "", line(0)).otherwise(line(1)), 1, 100)
+    return rows.select(id_col, "section_no", F.when(F.col("_has"), F.upper(code)).otherwise("DOCUMENT").alias("code"), F.when(F.col("_has"), title).otherwise("").alias("title"), F.trim("body").alias("body"))
+
+
+def code_section_chunks(sections: DataFrame, least: int = 50) -> DataFrame:
+    """Sections of at least `least` characters with their code and title in front of the text, as chunks."""
+    head = F.when(F.col("title") != "", F.concat_ws(" - ", "code", "title")).otherwise(F.col("code"))
+    return sections.where(F.length("body") >= least).withColumn("text", F.concat(head, F.lit("\n\n"), F.col("body")))
+
+
+def section_summary(sections: DataFrame, id_col: str) -> DataFrame:
+    """id, section_no, code, title (50 characters), length, preview (150 characters, on one line)."""
+    return sections.select(id_col, "section_no", "code", F.substring("title", 1, 50).alias("title"), F.length("body").alias("length"), F.substring(F.regexp_replace("body", r"\s+", " "), 1, 150).alias("preview"))
+
+
+def without_repeated_lines(df: DataFrame, id_col: str, text_col: str, share: float = 0.7, least_pages: int = 3) -> DataFrame:
+    """id, text: texts of form-feed parted pages without the first and last lines that recur on int(share * pages) of their pages.
+
+    Lines are counted as the first and the last non-blank one of each page (over two characters, in texts of at least least_pages pages);
+    what is taken away is a page's raw first or last line. Pages are looked at within their row.
+    """
+    pages = F.split(text_col, "\f")
+    full = lambda p: F.filter(F.transform(F.split(p, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    ends = F.flatten(F.transform(pages, lambda p: F.array_distinct(F.array(F.coalesce(F.get(full(p), F.lit(0)), F.lit("")), F.coalesce(F.element_at(full(p), -1), F.lit(""))))))
+    rows = df.select(id_col, pages.alias("_p"), ends.alias("_e"))
+    often = F.filter(F.array_distinct("_e"), lambda x: (F.length(x) > 2) & (F.size(F.filter(F.col("_e"), lambda y: y == x)) >= F.greatest(F.lit(1), F.floor(share * F.size("_p")))))
+    rows = rows.select(id_col, "_p", F.when(F.size("_p") >= least_pages, often).otherwise(F.array().cast("array<string>")).alias("_o"))
+
+    def bare(p):
+        lines = F.split(p, "\n")
+        a = F.when(F.array_contains(F.col("_o"), F.trim(F.element_at(lines, 1))), 2).otherwise(1)
+        b = F.size(lines) - F.when((F.size(lines) > 1) & F.array_contains(F.col("_o"), F.trim(F.element_at(lines, -1))), 1).otherwise(0)
+        return F.array_join(F.slice(lines, a, F.greatest(F.lit(0), b - a + 1)), "\n")
+
+    return rows.select(id_col, F.array_join(F.transform("_p", bare), "\f").alias("text"))

@@ -33,10 +33,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from foliary import queries_more  # noqa: F401  # registers the others
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from foliary import queries_more  # noqa: F401
+
     return dict(SQL)
 
 
@@ -577,8 +581,9 @@ def content_density(spark, d):
 
 
 @query(
-    f"""select chunk_key, round((case when {O.count("t", _REFP)} > 2 then 0.3 else 0 end + case when {O.count("t", "[0-9]+(?:[.,][0-9]+)?[ ]*(?:kg|mm|kN|bar|V|A|Hz|dB|mA|kPa|L/min|kg/s)")} > 3 then 0.2 else 0 end + case when {O.count("t", "(?m)^[ \\t]*(?:[-*•]|[0-9]+[.)]|\\([a-z0-9]\\))")} > 5 then 0.2 else 0 end
- + case when len(list_filter({_DS}, lambda s: length(s) < 50)) / greatest(len({_DS}), 1)::double > 0.5 then 0.3 else 0 end)::double, 6) score from (select chunk_key, coalesce(text, '') t from chunks)"""
+    f"""select chunk_key, round((case when {O.count("t", "(?i)\\b(?:FCL|CAT|ORO|Part|AMC)\\.\\w+")} > 2 then 0.3 else 0 end + case when {O.count("t", "(?i)[0-9]+\\s*(?:heures?|h|ans?|jours?|mois|%)")} > 3 then 0.2 else 0 end + case when {O.count("t", "(?m)^\\s*[-–—•(]\\s*")} > 5 then 0.2 else 0 end
+ + case when len(list_filter(x, lambda s: len(list_filter(regexp_split_to_array(s, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) < 15)) / len(x)::double > 0.5 then 0.3 else 0 end)::double, 6) score
+ from (select chunk_key, coalesce(text, '') t, regexp_split_to_array(coalesce(text, ''), '[.!?]') x from chunks)"""
 )
 def semantic_density(spark, d):
     return table(spark, d, "chunks").select("chunk_key", F.round(T.semantic_density("text"), 6).alias("score"))
@@ -662,7 +667,7 @@ def repeated_headers(spark, d):
     return c.join(pages, "document_id").where((F.col("pages") >= 3) & (F.col("n") >= F.floor(0.7 * F.col("pages")))).select("document_id", "line", "n")
 
 
-HEADER = r"^[ \t]*((CS|AMC|GM)(?:-[A-Z0-9]+|[0-9]{1,2})?)[ \-]+([0-9]+[A-Z]?(?:[.\-][0-9A-Za-z]+)*(?:\([0-9A-Za-z]+\))*)(?:[ \t]+([^\r\n]*))?[ \t\r]*$"
+HEADER = r"(?i)^[ \t]*(?:BOOK[ \t]+[0-9]+[ \t]*[-–—][ \t]*|Appendix[ \t]+[A-Z0-9]+[ \t]*(?:to|[-–—])[ \t]*)?((CS|AMC|GM)(?:-[A-Z0-9]+|[0-9]{1,2})?)[ \-]+([0-9]+[A-Z]?(?:[.\-][0-9A-Za-z]+)*(?:\([0-9A-Za-z]+\))*)(?:[ \t]+([^\r\n]*))?[ \t\r]*$"
 
 
 @query(

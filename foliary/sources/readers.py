@@ -83,3 +83,56 @@ def choose_extraction(candidates: DataFrame) -> DataFrame:
     out = candidates.withColumn("text", F.when(second, F.col("text_2")).otherwise(F.col("text_1"))).withColumn("extractor", F.when(second, 2).otherwise(1))
     third = is_suspect("text") & (n("text_3") > 1.1 * n("text"))
     return out.withColumns({"extractor": F.when(third, 3).otherwise(F.col("extractor")), "text": F.when(third, F.col("text_3")).otherwise(F.col("text"))})
+
+
+def paths_of_csv(spark: SparkSession, path: str, column: str = "path", delimiter: str = ";") -> DataFrame:
+    """path of a delimited file with a header: distinct, trimmed, empty ones left out. A file without the column is an error."""
+    rows = spark.read.option("header", "true").option("sep", delimiter).option("quote", '"').option("escape", '"').csv(path)
+    if column not in rows.columns:
+        raise ValueError(f"{path} has no column {column}: {rows.columns}")
+    return rows.select(F.trim(F.col(column)).alias("path")).where("path <> ''").distinct()
+
+
+def missing_files(wanted: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows of wanted (path) that a listing of files (path) does not have; schemes and doubled slashes do not count."""
+    key = lambda df: df.withColumn("_k", F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(?=/)", ""), "/+", "/"))
+    return key(wanted).join(key(listed).select("_k").distinct(), "_k", "left_anti").drop("_k")
+
+
+def xml_files(manifest: DataFrame) -> DataFrame:
+    """Distinct XML files that manifests name."""
+    return manifest.where(F.lower(F.col("path")).endswith(".xml")).select("path").distinct()
+
+
+def unique_names(files: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
+    """unique_name: names made different within `by`: the second of a name gets _1 before its extension, the third _2, and so on."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy(*by, F.lower(F.col(name))).orderBy(*order)) - 1
+    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
+    return files.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext))).drop("_n")
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """id, path, text of wiki pages (id, title, ancestors array, html): the path is `A > B > title`, the text is headed by the title."""
+    from foliary.functions import text as T
+
+    path = F.concat_ws(" > ", F.coalesce("ancestors", F.array().cast("array<string>")), F.col("title"))
+    return pages.select("id", path.alias("path"), F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce(T.html_text("html"), F.lit(""))).alias("text"))
+
+
+def pages_by_section(pages: DataFrame, path: str = "path", sep: str = " > ") -> DataFrame:
+    """section, pages, first: pages grouped by their second-level ancestor, those at depth three or more only."""
+    parts = F.split(path, F.lit(sep)) if sep == "/" else F.split(path, sep)
+    rows = pages.where(F.size(parts) >= 3).select(F.element_at(parts, 2).alias("section"), "id")
+    return rows.groupBy("section").agg(F.count("*").alias("pages"), F.min("id").alias("first"))
+
+
+def corpus_ids(chunks: DataFrame, position: str) -> DataFrame:
+    """doc_id of each row for the lexical index: its chunk_id, or its position where it has none."""
+    return chunks.withColumn("doc_id", F.coalesce(F.nullif("chunk_id", F.lit("")), F.col(position).cast("string")))
+
+
+def feedback_of(feedback: DataFrame, base: str | None = None) -> DataFrame:
+    """Feedback of one base, or (None) of all; the filter reaches the scan."""
+    return feedback if base is None else feedback.where(F.col("base_name") == base)
