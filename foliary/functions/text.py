@@ -166,6 +166,31 @@ def is_suspect(text: Column | str, least: int = 500) -> Column:
     return (t == "") | (F.length(t) < least) | (shown / F.greatest(F.length(t), F.lit(1)) < 0.85)
 
 
+# Patterns of noise, of which more than three finds count: broken ligatures, runs of signs, runs of capitals, repeated characters.
+NOISE = (r"[ﬀﬁﬂﬃﬄ]{2,}", r"[^\p{L}\p{N}_\s.,;:!?'\"()-]{5,}", r"(?i)[A-Z]{20,}", r"(?i)(.)\1{4,}")
+
+
+def extraction_issues(text: Column | str) -> Column:
+    """The names of what is wrong with an extracted text: unprintable, few_letters, ligatures, symbols, capitals, repeats, vowelless, few_words,
+    short_lines, spaces. An empty text has none."""
+    t = F.coalesce(_c(text), F.lit(""))
+    n = F.greatest(F.length(t), F.lit(1))
+    ws = F.regexp_extract_all(F.lower(t), F.lit(WORDS), 0)
+    lines = F.split(t, "\n")
+    wide = _count(t, " {3,}")
+    signs = {
+        "unprintable": F.length(F.regexp_replace(t, r"[^\p{L}\p{N}\p{P}\p{S}\p{M} \n\r\t]", "")) / n < 0.85,
+        "few_letters": F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / n < 0.4,
+        **{name: _count(t, p) > 3 for name, p in zip(("ligatures", "symbols", "capitals", "repeats"), NOISE)},
+        "vowelless": F.size(F.filter(ws, lambda w: w.rlike(r"^[bcdfghjklmnpqrstvwxz]{6,}$"))) > 3,
+        "few_words": F.size(F.filter(ws, lambda w: w.rlike(r"^[a-zà-ÿ]{2,}$"))) / n * 1000 < 50,
+        "short_lines": F.size(F.filter(lines, lambda s: (F.length(F.trim(s)) > 0) & (F.length(F.trim(s)) < 5))) / F.size(lines) > 0.3,
+        "spaces": F.when(F.length(t) > 1000, wide / (n / 1000)).otherwise(wide) > 10,
+    }
+    found = F.array_compact(F.array(*[F.when(c, name) for name, c in signs.items()]))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(found)
+
+
 def extraction_quality(text: Column | str) -> Column:
     """1 less penalties for unprintable characters, few letters, noise patterns, few words and many short lines; 0 for no text."""
     t = F.coalesce(_c(text), F.lit(""))
@@ -173,7 +198,7 @@ def extraction_quality(text: Column | str) -> Column:
     shown = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}\p{P}\p{S}\p{M} \n\r\t]", "")) / n
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / n
     noise = sum(
-        (F.when(_count(t, p) > 3, 1).otherwise(0) for p in (r"[ﬀﬁﬂﬃﬄ]{2,}", r"[^\p{L}\p{N}_\s.,;:!?'\"()-]{5,}", r"(?i)[A-Z]{20,}")),
+        (F.when(_count(t, p) > 3, 1).otherwise(0) for p in NOISE),
         F.lit(0),
     )
     vowelless = F.size(F.filter(F.regexp_extract_all(F.lower(t), F.lit(WORDS), 0), lambda w: w.rlike(r"^[bcdfghjklmnpqrstvwxz]{6,}$")))

@@ -39,6 +39,12 @@ WEIGHTS = {
 }
 # How many times as many sources an intent asks for.
 MULTIPLIERS = {"procedure": 1.5, "comparison": 2.0, "list": 2.0}
+# Sections that an intent looks for; intents for exact matches, for rewording, and for recent sources.
+SECTIONS = {
+    "definition": ["définition", "definition", "glossaire", "glossary"], "procedure": ["procédure", "procedure", "méthode", "method"],
+    "requirement": ["exigences", "requirements", "conditions"], "reference": ["référence", "reference", "applicable"],
+}
+EXACT, REWORDED, RECENT = ("definition", "requirement", "reference", "factual"), ("comparison",), ("factual",)
 ENTITY = (
     r"(?:EASA\s*)?Part[- ]?[0-9]+|FCL[.\-]?[0-9]+(?:\.[A-Z]\.[0-9]+)?|(?:FAR|FAA)\s*[0-9]+[.-][0-9]+|CS(?:-[A-Z]+)?\s*[0-9]+[A-Z]?(?:[.\-][0-9]+[A-Za-z]?)?|"
     r"AMC[0-9]{0,2}(?:-[A-Z]+)?\s*[0-9]+[A-Z]?(?:[.\-][0-9]+[A-Za-z]?)?|GM[0-9]{0,2}(?:-[A-Z]+)?\s*[0-9]+[A-Z]?(?:[.\-][0-9]+[A-Za-z]?)?|(?:CAT|ORO|SPA|NCO|NCC|SPO)\.[A-Z]+(?:\.[A-Z]+)*\.[0-9]+"
@@ -69,13 +75,17 @@ def _best(scores: dict[str, Column], none: str) -> Column:
 
 
 def analyse(questions: DataFrame, question: str = "question", base_top_k: int = 10) -> DataFrame:
-    """Adds intent, intent_score, domain, complexity, entities, dense_weight, sparse_weight and top_k. A null question is general."""
+    """Adds intent, intent_score, secondary_intents (the next two with a score), domain, complexity, entities, dense_weight, sparse_weight, top_k,
+    and hints for the search: filter_sections, required_keywords, exact_match, reword, recent. A null question is general."""
     q = F.lower(F.coalesce(normalised(question), F.lit("")))
     intents = {k: F.round(F.least(F.lit(1.0), _hits(q, p) / max(1.0, 0.3 * len(p))), 6) for k, p in INTENTS.items()}
     domains = {k: _hits(q, p) for k, p in DOMAINS.items()}
     out = questions.withColumns({f"_i_{k}": v for k, v in intents.items()} | {f"_d_{k}": v for k, v in domains.items()})
     out = out.withColumn("intent", _best({k: F.col(f"_i_{k}") for k in INTENTS}, "general"))
     out = out.withColumn("intent_score", F.when(F.col("intent") == "general", 0.5).otherwise(F.greatest(*[F.col(f"_i_{k}") for k in INTENTS])))
+    # names by falling score, ties in the order of the table; the first is the intent itself
+    order = F.array_sort(F.array(*[F.struct((-F.col(f"_i_{k}")).alias("s"), F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in enumerate(INTENTS)]))
+    out = out.withColumn("secondary_intents", F.transform(F.filter(F.slice(order, 2, 2), lambda x: x["s"] < 0), lambda x: x["k"]))
     out = out.withColumn("domain", _best({k: F.col(f"_d_{k}") for k in DOMAINS}, "general"))
     hard = _hits(q, COMPLEXITY["complex"]) > 0
     fair = (_hits(q, COMPLEXITY["moderate"]) > 0) | (F.size(F.filter(F.split(q, " "), lambda w: w != "")) > 20)
@@ -88,12 +98,17 @@ def analyse(questions: DataFrame, question: str = "question", base_top_k: int =
         times = F.when(F.col("intent") == k, m).otherwise(times)
     times = F.when(F.col("complexity") == "complex", F.greatest(times, F.lit(2.0))).otherwise(times)
     out = out.withColumns({"dense_weight": dense, "sparse_weight": sparse, "top_k": F.greatest(F.lit(3), F.floor(base_top_k * times).cast("int"))})
+    wanted = F.array().cast("array<string>")
+    for k, names in SECTIONS.items():
+        wanted = F.when(F.col("intent") == k, F.array(*map(F.lit, names))).otherwise(wanted)
+    is_one = lambda names: F.col("intent").isin(*names)
+    out = out.withColumns({"filter_sections": wanted, "required_keywords": F.col("entities"), "exact_match": is_one(EXACT), "reword": is_one(REWORDED) | (F.col("complexity") == "complex"), "recent": is_one(RECENT)})
     return out.drop(*[f"_i_{k}" for k in INTENTS], *[f"_d_{k}" for k in DOMAINS])
 
 
 def variants(questions: DataFrame, question: str = "question") -> DataFrame:
     """query_id, variant_no, variant: the question and up to four rewordings: the same section of the neighbouring document kinds, then the
-    intent's own phrasing. questions: query_id, question, intent."""
+    intent's own phrasing, then the domain's name. questions: query_id, question, intent, and domain if it is to count."""
     q = F.col(question)
     ref = F.regexp_extract(q, r"(CS|AMC|GM)[0-9]{0,2}\s+([0-9]+[A-Z]?(?:[.\-][0-9]+[A-Za-z]?)?)", 0)
     number = F.regexp_extract(q, r"(CS|AMC|GM)[0-9]{0,2}\s+([0-9]+[A-Z]?(?:[.\-][0-9]+[A-Za-z]?)?)", 2)
@@ -108,8 +123,15 @@ def variants(questions: DataFrame, question: str = "question") -> DataFrame:
     def led(i):
         out = F.lit(None).cast("string")
         for k, v in lead.items():
-            out = F.when(F.col("intent") == k, F.concat(F.lit(v[i]), q)).otherwise(out)
+            asked = F.col("intent") == k
+            if k == "definition":
+                asked = asked & ~F.contains(F.lower(q), F.lit("qu'est-ce que"))
+            out = F.when(asked, F.concat(F.lit(v[i]), q)).otherwise(out)
         return out
 
-    all_ = F.slice(F.array_distinct(F.array_compact(F.array(q, other("AMC", "CS", "CS"), other("GM", "GM", "AMC"), led(0), led(1)))), 1, 5)
+    named = F.lit(None).cast("string")
+    if "domain" in questions.columns:
+        for domain, word in (("licensing", "FCL"), ("operations", "OPS")):
+            named = F.when((F.col("domain") == domain) & ~F.contains(F.lower(q), F.lit(word.lower())), F.concat(F.lit(word + " "), q)).otherwise(named)
+    all_ = F.slice(F.array_distinct(F.array_compact(F.array(q, other("AMC", "CS", "CS"), other("GM", "GM", "AMC"), led(0), led(1), named))), 1, 5)
     return questions.select("query_id", F.posexplode(all_).alias("variant_no", "variant"))

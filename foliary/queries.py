@@ -371,8 +371,8 @@ _REF = "'(CS|AMC|GM)[0-9]{0,2}\\s+([0-9]+[A-Z]?(?:[.\\-][0-9]+[A-Za-z]?)?)'"
 
 @query(
     ANALYSE_SQL
-    + f""", v as (select feedback_id query_id, intent, question q0, regexp_extract(question, {_REF}, 0) ref, regexp_extract(question, {_REF}, 1) base, regexp_extract(question, {_REF}, 2) num from c join (select distinct feedback_id, question from feedback where question is not null) using (feedback_id)),
- w as (select query_id, {O.distinct("list_filter([q0, case when ref <> '' then replace(q0, ref, case base when 'CS' then 'AMC' when 'AMC' then 'CS' else 'CS' end || ' ' || num) end, case when ref <> '' then replace(q0, ref, case base when 'CS' then 'GM' when 'AMC' then 'GM' else 'AMC' end || ' ' || num) end, case intent when 'definition' then 'définition ' || q0 when 'requirement' then 'exigences ' || q0 when 'procedure' then 'procédure ' || q0 end, case intent when 'definition' then 'qu''est-ce que ' || q0 when 'requirement' then 'conditions requises ' || q0 when 'procedure' then 'étapes ' || q0 end], lambda x: x is not null)")}[1:5] l from v)
+    + f""", v as (select feedback_id query_id, intent, "domain" dom, question q0, regexp_extract(question, {_REF}, 0) ref, regexp_extract(question, {_REF}, 1) base, regexp_extract(question, {_REF}, 2) num from c join (select distinct feedback_id, question from feedback where question is not null) using (feedback_id)),
+ w as (select query_id, {O.distinct("list_filter([q0, case when ref <> '' then replace(q0, ref, case base when 'CS' then 'AMC' when 'AMC' then 'CS' else 'CS' end || ' ' || num) end, case when ref <> '' then replace(q0, ref, case base when 'CS' then 'GM' when 'AMC' then 'GM' else 'AMC' end || ' ' || num) end, case intent when 'definition' then case when not contains(lower(q0), 'qu''est-ce que') then 'définition ' || q0 end when 'requirement' then 'exigences ' || q0 when 'procedure' then 'procédure ' || q0 end, case intent when 'definition' then case when not contains(lower(q0), 'qu''est-ce que') then 'qu''est-ce que ' || q0 end when 'requirement' then 'conditions requises ' || q0 when 'procedure' then 'étapes ' || q0 end, case when dom = 'licensing' and not contains(lower(q0), 'fcl') then 'FCL ' || q0 when dom = 'operations' and not contains(lower(q0), 'ops') then 'OPS ' || q0 end], lambda x: x is not null)")}[1:5] l from v)
  select query_id, (generate_subscripts(l, 1) - 1)::int variant_no, unnest(l) variant from w"""
 )
 def query_variants(spark, d):
@@ -514,9 +514,11 @@ def grounding_evidence(spark, d):
 # Text quality and enrichment --------------------------------------------------------------------------------------------------------
 
 _SHOWN = "length(regexp_replace(t, '[^\\p{L}\\p{N}\\p{P}\\p{S}\\p{M} \\n\\r\\t]', '', 'g'))"
+#: DuckDB has no back-references: runs of five of each character that the tables have.
+_REPEATED = "(?i)" + "|".join(("\\" + c if not c.isalnum() and ord(c) < 128 else c) + "{5,}" for c in [chr(i) for i in range(32, 127) if not 97 <= i <= 122] + list("\t\r\f\u00a0éèêëàâäáãìíïîòóôöõùúûüçñß–—•…«»°·“”’œ°"))
 QUALITY_SQL = f"""with a as (select distinct file_id, coalesce(text, '') t, quality_score from extractions), b as (select *, greatest(length(t), 1)::double n from a),
  c as (select *, {_SHOWN} / n shown, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) / n letters,
-  ({O.count("t", "[ﬀﬁﬂﬃﬄ]{2,}")} > 3)::int + ({O.count("t", "[^\\p{L}\\p{N}_\\s.,;:!?'\"()-]{5,}")} > 3)::int + ({O.count("t", "(?i)[A-Z]{20,}")} > 3)::int + (len({O.words_like("t", "^[bcdfghjklmnpqrstvwxz]{6,}$")}) > 3)::int noise,
+  ({O.count("t", "[ﬀﬁﬂﬃﬄ]{2,}")} > 3)::int + ({O.count("t", "[^\\p{L}\\p{N}_\\s.,;:!?'\"()-]{5,}")} > 3)::int + ({O.count("t", "(?i)[A-Z]{20,}")} > 3)::int + ({O.count("t", _REPEATED)} > 3)::int + (len({O.words_like("t", "^[bcdfghjklmnpqrstvwxz]{6,}$")}) > 3)::int noise,
   len({O.words_like("t", "^[a-zà-ÿ]{2,}$")}) / n * 1000 found, len(list_filter(string_split(t, chr(10)), lambda s: length(trim(s)) > 0 and length(trim(s)) < 5))::double / len(string_split(t, chr(10))) short from b),
  q as (select file_id, t, quality_score, case when t = '' then 0.0::double else greatest(0.0, least(1.0, 1.0::double - case when shown < 0.95 then (0.95::double - shown) * 2 else 0 end - case when letters < 0.5 then (0.5::double - letters) * 1.5::double else 0 end
   - noise * 0.1::double - case when found < 100 then (100 - found) / 200 else 0 end - case when short > 0.2 then (short - 0.2::double) * 0.5::double else 0 end)) end s from c)"""
@@ -557,9 +559,11 @@ def ocr_document(spark, d):
 
 
 def vocabulary(spark, d):
-    """The glossary's words (a fixed table of a few hundred rows)."""
-    rows = table(spark, d, "glossary").select(F.explode(F.split(F.lower("term"), "[^a-zà-ÿ]+")).alias("w")).where("length(w) > 2").distinct().limit(10_000).collect()
-    return [r.w for r in sorted(rows)]
+    """The glossary's words (a fixed table of a few hundred rows; a list in an expression is no place for a large one)."""
+    rows = table(spark, d, "glossary").select(F.explode(F.split(F.lower("term"), "[^a-zà-ÿ]+")).alias("w")).where("length(w) > 2").distinct()
+    if (n := rows.count()) > 100_000:
+        raise ValueError(f"a vocabulary of {n} words must be joined, not listed")
+    return sorted(r.w for r in rows.collect())
 
 
 _DW = O.words_like("t", "^[a-zà-ÿ]{2,}$")
@@ -686,14 +690,16 @@ def section_split(spark, d):
 # Tables -----------------------------------------------------------------------------------------------------------------------------
 
 
-@query("select i.incoming_id, i.path from (select distinct incoming_id, collection_name, path from incoming_chunks) i where not exists (select 1 from chunks c where c.collection_name = i.collection_name and regexp_replace(c.path, '/+', '/', 'g') = regexp_replace(i.path, '/+', '/', 'g'))")
+@query("select e.group_name, e.original_path from (select distinct group_name, original_path from extractions where original_path is not null) e where not exists (select 1 from incoming_chunks c where c.collection_name = e.group_name and regexp_replace(c.path, '/+', '/', 'g') = regexp_replace(e.original_path, '/+', '/', 'g'))")
 def incremental_new(spark, d):
-    def key(df):
-        return df.withColumn("k", F.regexp_replace("path", "/+", "/"))
+    """Files extracted that no delivery of their collection has."""
 
-    i = key(table(spark, d, "incoming_chunks").select("incoming_id", "collection_name", "path").distinct())
-    c = key(table(spark, d, "chunks")).select("collection_name", "k").distinct()
-    return i.join(c, ["collection_name", "k"], "left_anti").select("incoming_id", "path")
+    def key(df, path):
+        return df.withColumn("k", F.regexp_replace(path, "/+", "/"))
+
+    e = key(table(spark, d, "extractions").select("group_name", "original_path").where("original_path is not null").distinct(), "original_path")
+    c = key(table(spark, d, "incoming_chunks"), "path").select(F.col("collection_name").alias("group_name"), "k").distinct()
+    return e.join(c, ["group_name", "k"], "left_anti").select("group_name", "original_path")
 
 
 @query("select coalesce(nullif(trim(group_name), ''), 'ALL') grp, count(distinct original_path) n, md5(string_agg(distinct original_path, '|' order by original_path)) digest from extractions where coalesce(trim(original_path), '') <> '' group by 1")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
-from foliary.operators import cache, chunking, context, rerank, search, sections
+from foliary.operators import cache, chunking, context, rerank, search, sections, understand
 from foliary.plans import oracle as O
-from foliary.queries import HEADER, HYBRID_SQL, INDEX_SQL, QUALITY_SQL, answered, answered_questions, lexical, query, table, vocabulary
+from foliary.queries import ANALYSE_SQL, HEADER, HYBRID_SQL, INDEX_SQL, QUALITY_SQL, answered, answered_questions, lexical, query, table, vocabulary
 from foliary.session import scratch_path, spread
 from foliary.sources import readers
 
@@ -261,3 +261,27 @@ def cache_events(spark, d):
 def cache_invalidate(spark, d):
     e = table(spark, d, "cache_entries")
     return cache.invalidate(e, e.agg(F.min("collection_name")).first()[0]).agg(F.count("*").alias("n"))
+
+
+_ORDER = "list_sort([" + ", ".join(f"{{'s': -i_{k}, 'n': {n}, 'k': '{k}'}}" for n, k in enumerate(understand.INTENTS)) + "])"
+_SECTIONS = "case intent " + " ".join(f"when '{k}' then '{'|'.join(v)}'" for k, v in understand.SECTIONS.items()) + " else '' end"
+
+
+@query(
+    ANALYSE_SQL
+    + f""" select feedback_id, array_to_string(list_transform(list_filter({_ORDER}[2:3], lambda x: x.s < 0), lambda x: x.k), '|') secondary, {_SECTIONS} sections,
+ intent in ('definition', 'requirement', 'reference', 'factual') exact_match, intent = 'comparison' or complexity = 'complex' reword, intent = 'factual' recent from c"""
+)
+def search_hints(spark, d):
+    out = understand.analyse(spread(table(spark, d, "feedback").select("feedback_id", "question"))).dropDuplicates(["feedback_id"])
+    return out.select("feedback_id", F.array_join("secondary_intents", "|").alias("secondary"), F.array_join("filter_sections", "|").alias("sections"), "exact_match", "reword", "recent")
+
+
+@query(
+    QUALITY_SQL.replace(" shown,", " shown, ", 1)
+    + """ select distinct file_id, case when t = '' then '' else concat_ws('|', case when shown < 0.85 then 'unprintable' end, case when letters < 0.4 then 'few_letters' end, case when found < 50 then 'few_words' end, case when short > 0.3 then 'short_lines' end) end issues from q join (select file_id, t, shown, letters, found, short from c) using (file_id, t)"""
+)
+def extraction_issues(spark, d):
+    rows = table(spark, d, "extractions").select("file_id", T.extraction_issues("text").alias("i")).distinct()
+    shared = ("unprintable", "few_letters", "few_words", "short_lines")
+    return rows.select("file_id", F.array_join(F.filter("i", lambda x: x.isin(*shared)), "|").alias("issues")).distinct()
