@@ -73,7 +73,8 @@ def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048,
     A text is cut only if it alone exceeds the capacity: into full containers and a rest. The other pieces are dealt at random (by
     a hash) to groups of about windows_per_group containers, whose number follows the total size, and each group is filled by
     multiway differencing; so no group grows with the data. Null and empty texts have no tokens and lie in a container all the
-    same. Repeated rows and rows of one id are packed each for itself; null ids are kept; an empty table gives an empty table.
+    same. Repeated rows (same id and text) count once; rows of one id with different texts are packed each for itself; null ids are kept;
+    an empty table gives an empty table. The groups follow from ids and texts, so the containers do not depend on how the rows are parted.
     """
     ranks, kind = ranks or rank_file(), dict(df.dtypes)[id_col]
 
@@ -83,20 +84,21 @@ def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048,
             counts = [len(encode(t, enc)) for t in b.column(1).to_pylist()]
             rows = [(i, p, a, n) for i, c in enumerate(counts) for p, (a, n) in enumerate(pieces_of(c, capacity))]
             at, no, first, n = (np.array(x, dtype=np.int64) for x in zip(*rows)) if rows else [np.empty(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(no.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "piece_no", "first_token", "n_tokens"])
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), pa.array(no.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "print", "piece_no", "first_token", "n_tokens"])
 
-    shape = f"id {kind}, piece_no int, first_token int, n_tokens int"
-    pieces = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(measure, shape)
-    pieces = materialize(pieces, "pieces")
+    shape = f"id {kind}, print long, piece_no int, first_token int, n_tokens int"
+    pieces = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).withColumn("print", F.xxhash64("text")).mapInArrow(measure, shape)
+    pieces = materialize(pieces.dropDuplicates(["id", "print", "piece_no"]), "pieces")
     total = pieces.where(F.col("n_tokens") < capacity).agg(F.sum("n_tokens")).first()[0] or 0
     groups = max(1, -(-total // (capacity * windows_per_group)))
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n_tokens", "descending"), ("id", "ascending"), ("piece_no", "ascending")])
+        t = t.sort_by([("n_tokens", "descending"), ("id", "ascending"), ("print", "ascending"), ("piece_no", "ascending")])
         places = fill(t["n_tokens"].to_pylist(), capacity)
         return t.drop_columns(["group"]).append_column("container", pa.array([f"g{key[0].as_py()}-{w}" for w in places], pa.string()))
 
-    loose = pieces.where(F.col("n_tokens") < capacity).withColumn("group", F.pmod(F.xxhash64("id", "piece_no", F.monotonically_increasing_id()), F.lit(groups)))
+    loose = pieces.where(F.col("n_tokens") < capacity).withColumn("group", F.pmod(F.xxhash64("id", "print", "piece_no"), F.lit(groups)))
     packed = loose.groupBy("group").applyInArrow(pack, shape + ", container string")
-    full = pieces.where(F.col("n_tokens") >= capacity).withColumn("container", F.concat(F.lit("f"), F.monotonically_increasing_id().cast("string")))
-    return packed.union(full.select(packed.columns)).withColumnRenamed("id", id_col)
+    full = pieces.where(F.col("n_tokens") >= capacity).withColumn("container", F.concat_ws("-", F.lit("f"), F.hex(F.xxhash64("id", "print")), F.col("piece_no")))
+    return packed.union(full.select(packed.columns)).drop("print").withColumnRenamed("id", id_col)

@@ -241,12 +241,13 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim
     rows = vectors.count()
     wanted = min(plan.most_sampled, plan.per_list * max(1, min(plan.most_lists, rows // plan.rows_per_list)))
     share = min(1.0, 1.1 * wanted / max(rows, 1))
-    drawn = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < F.lit(max(1, int(share * 1_000_000)))).select("vec").distinct().limit(plan.most_sampled).toArrow()
+    drawn = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < F.lit(max(1, int(share * 1_000_000)))).select("vec").distinct().toArrow()
     if not drawn.num_rows:
         if not rows:
             return spark.createDataFrame([], "a long, b long, cosine double, rank int")
-        drawn = vectors.select("vec").limit(1).toArrow()
-    index = ListIndex.fit(_matrix(drawn["vec"], dim), rows, plan)
+        drawn = vectors.groupBy().agg(F.min("vec").alias("vec")).toArrow()
+    sample = pa.table({"vec": pa.array(sorted(drawn["vec"].to_pylist())[: plan.most_sampled])})  # in their own order: the index follows from the rows alone
+    index = ListIndex.fit(_matrix(sample["vec"], dim), rows, plan)
     spread = classes.select("id", "vec").mapInArrow(_spread(index, dim), "unit int, id long, vec binary, lists array<int>")
     found = spread.groupBy("unit").applyInArrow(_search_unit(k, least_cosine, dim), "a long, b long, cosine double")
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")

@@ -89,3 +89,12 @@ def test_split_table(spark):
     assert {r.id for r in split_texts(df, "id", "text").collect()} == {1, 4}
     assert {r.id for r in split_texts(df, "id", "text", whole=False).collect()} == {1}
     assert split_texts(df.limit(0), "id", "text").count() == 0
+
+
+def test_containers_do_not_depend_on_the_partitions(spark):
+    from foliary.llm.packing import pack_texts
+
+    rows = [(i % 180, "word " * (3 * i % 300) + str(i % 180)) for i in range(200)] + [(None, "x"), (5, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    a, b = (sorted(map(repr, pack_texts(x, "id", "text", capacity=128, windows_per_group=4).collect())) for x in (df.coalesce(1), df.repartition(6)))
+    assert a == b and len(a) > 200

@@ -50,3 +50,10 @@ def test_graph_search_finds_the_nearest_lists():
     ids, _ = ix.search(x[:500], 6)
     best = np.argsort(-(x[:500] @ ix.centroids.T), axis=1)[:, :6]
     assert len(ix.centroids) > 500 and np.mean([len({*a} & {*b}) / 6 for a, b in zip(ids, best)]) > 0.9
+
+
+def test_the_index_does_not_depend_on_the_partitions(spark):
+    x = np.random.default_rng(9).standard_normal((1500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SHAPE)
+    a, b = ({(g.a, g.b) for g in nearest_vectors(y, "id", "v", plan=ListPlan(rows_per_list=16, per_list=4, probes=4)).collect()} for y in (df.coalesce(1), df.repartition(7)))
+    assert a == b
