@@ -89,7 +89,8 @@ def dense_top_k(questions: DataFrame, corpus: DataFrame, k: int = 10, by: list[s
     asked = questions.where("embedding is not null and query_id is not null").select("query_id", "embedding", *own)
     kind = dict(questions.dtypes)["query_id"]
     shape = f"query_id {kind}, chunk_id {kinds['chunk_id']}, " + "".join(f"g{i} {kinds[c]}, " for i, c in enumerate(by)) + "distance double"
-    passes, out = max(1, -(-asked.count() * 5 // (4 * per_pass))) if asked.count() > per_pass else 1, None
+    n_asked = asked.count()
+    passes, out = -(-n_asked * 5 // (4 * per_pass)) if n_asked > per_pass else 1, None
     for n in range(passes):
         rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n) if passes > 1 else asked).collect()
         if not rows:
