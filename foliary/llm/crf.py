@@ -10,8 +10,19 @@ import numpy as np
 SIZE = 1 << 15
 
 
+_NUMBERS: dict[str, int] = {}  # names met before and their numbers; emptied when there are too many
+
+
 def feature_ids(names: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32(n.encode("utf-8", "replace")) % SIZE for n in names], dtype=np.int64)
+    out = []
+    for n in names:
+        i = _NUMBERS.get(n)
+        if i is None:
+            if len(_NUMBERS) > 300_000:
+                _NUMBERS.clear()
+            i = _NUMBERS[n] = zlib.crc32(n.encode("utf-8", "replace")) % SIZE
+        out.append(i)
+    return np.array(out, dtype=np.int64)
 
 
 @dataclass

@@ -116,7 +116,8 @@ class Tagger:
         whole, q_share = np.maximum(langs, -6).sum(axis=0), np.exp(2 * np.maximum(q_lang, -3))
         agrees = lambda logs: float(q_share @ np.exp(logs - np.logaddexp.reduce(logs)) / q_share.sum())
         whole_same = agrees(whole)
-        lettered = sum(c.isalpha() for p in parts for c in p)
+        each = [sum(map(str.isalpha, p)) for p in parts]
+        lettered = sum(each)
         near = lambda p: "home" if p > 0.5 else "unsure" if p > 0.1 else "away" if p > 0.01 else "far"
         answered = "short" if lettered < 12 else f"{min(2, lettered // 40)}-{near(whole_same)}"
         for i, c in enumerate(parts):
@@ -125,7 +126,7 @@ class Tagger:
             common = sum(min(n, asked[w]) for w, n in mine.items())
             inside = common / max(1, len(low))
             last, item = i == len(parts) - 1, bool(ITEM.match(c))
-            letters = sum(map(str.isalpha, c))
+            letters = each[i]
             tail = c.rstrip()
             if tail.endswith(("…", "..")):
                 end = "dots"
