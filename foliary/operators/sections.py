@@ -59,23 +59,31 @@ def section_summary(sections: DataFrame, id_col: str) -> DataFrame:
     return sections.select(id_col, "section_no", "code", F.substring("title", 1, 50).alias("title"), F.length("body").alias("length"), F.substring(F.regexp_replace("body", r"\s+", " "), 1, 150).alias("preview"))
 
 
+# Fixed value: the signs that are blank at the ends of a line.
+BLANK = "".join(filter(str.isspace, map(chr, range(0x3001))))
+
+
 def without_repeated_lines(df: DataFrame, id_col: str, text_col: str, share: float = 0.7, least_pages: int = 3) -> DataFrame:
-    """id, text: texts of form-feed parted pages without the first and last lines that recur on int(share * pages) of their pages.
+    """id, text: texts of form-feed parted pages without the first lines that are first, and the last lines that are last, on int(share * pages)
+    of their pages.
 
-    Lines are counted as the first and the last non-blank one of each page (over two characters, in texts of at least least_pages pages);
-    what is taken away is a page's raw first or last line. Pages are looked at within their row.
+    Lines are counted as the first and as the last non-blank one of each page, apart from each other (over two characters, in texts of at
+    least least_pages pages); what is taken away is a page's raw first or last line. The other lines of such texts stay, ended by line feeds;
+    texts of fewer pages stay as they are, null texts null. Pages are looked at within their row.
     """
-    pages = F.split(text_col, "\f")
-    full = lambda p: F.filter(F.transform(F.split(p, "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    ends = F.flatten(F.transform(pages, lambda p: F.array_distinct(F.array(F.coalesce(F.get(full(p), F.lit(0)), F.lit("")), F.coalesce(F.element_at(full(p), -1), F.lit(""))))))
-    rows = df.select(id_col, pages.alias("_p"), ends.alias("_e"))
-    often = F.filter(F.array_distinct("_e"), lambda x: (F.length(x) > 2) & (F.size(F.filter(F.col("_e"), lambda y: y == x)) >= F.greatest(F.lit(1), F.floor(share * F.size("_p")))))
-    rows = rows.select(id_col, "_p", F.when(F.size("_p") >= least_pages, often).otherwise(F.array().cast("array<string>")).alias("_o"))
-
-    def bare(p):
-        lines = F.split(p, "\n")
-        a = F.when(F.array_contains(F.col("_o"), F.trim(F.element_at(lines, 1))), 2).otherwise(1)
-        b = F.size(lines) - F.when((F.size(lines) > 1) & F.array_contains(F.col("_o"), F.trim(F.element_at(lines, -1))), 1).otherwise(0)
+    strip = lambda s: F.trim(s, F.lit(BLANK))
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  # the value is found once, not at every turn of a loop
+    rows = df.select(id_col, F.col(text_col).alias("_t"), F.split(F.regexp_replace(text_col, r"\r\n?", "\n"), "\f").alias("_p"))
+    least = F.greatest(F.lit(1), F.floor(share * F.size("_p"))).cast("int")
+
+    def often(end):  # in order, a line recurs often enough if the same one stands least - 1 places on
+        ends = F.array_sort(F.filter(F.transform("_p", lambda p: strip(F.substring_index(strip(p), "\n", end))), lambda x: F.length(x) > 2))
+        return let(ends, lambda e: F.array_distinct(F.filter(e, lambda x, i: F.get(e, i + least - 1) == x)))
+
+    def bare(lines, first, last):
+        a = F.when(F.array_contains(first, strip(F.element_at(lines, 1))), 2).otherwise(1)
+        b = F.size(lines) - F.when(F.array_contains(last, strip(F.element_at(lines, -1))), 1).otherwise(0)
         return F.array_join(F.slice(lines, a, F.greatest(F.lit(0), b - a + 1)), "\n")
 
-    return rows.select(id_col, F.array_join(F.transform("_p", bare), "\f").alias("text"))
+    pages = let(often(1), lambda first: let(often(-1), lambda last: F.transform("_p", lambda p: let(F.split(p, "\n"), lambda x: bare(x, first, last)))))
+    return rows.select(id_col, F.when(F.size("_p") >= least_pages, F.array_join(pages, "\f")).otherwise(F.col("_t")).alias("text"))

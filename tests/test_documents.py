@@ -1,6 +1,11 @@
+import random
+from collections import Counter
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
+from foliary import queries
 from foliary.functions import segments as S
 from foliary.functions import text as T
 from foliary.operators import chunking, context, evaluate, search, sections
@@ -77,6 +82,34 @@ def test_code_sections_and_repeated_lines(spark):
     assert {r.id: r.text for r in out.collect()} == {1: "\f".join(f"body {i}" for i in range(4)), 2: "A\nb\fA\nc"}
 
 
+def plain_without_repeated_lines(text, share=0.7, least_pages=3):
+    pages = text.split("\f")
+    if len(pages) < least_pages:
+        return text
+    pages = [p.replace("\r\n", "\n").replace("\r", "\n").split("\n") for p in pages]
+    full = [[x.strip() for x in p if x.strip()] or [""] for p in pages]
+    often = [{x for x, n in Counter(f[end] for f in full).items() if len(x) > 2 and n >= int(share * len(pages))} for end in (0, -1)]
+    return "\f".join("\n".join(x for i, x in enumerate(p) if not (i == 0 and x.strip() in often[0] or i == len(p) - 1 and x.strip() in often[1])) for p in pages)
+
+
+def test_repeated_lines_of_odd_pages(spark):
+    texts = ["", " ", "\f\f", "\n\f \f\t\n", "a\r\nb", "\f".join(["HEAD"] * 3), "HEAD\na\fHEAD\nb\f\fHEAD\nc", "\nHEAD\na\fHEAD\nb\fHEAD\nc\f"]
+    texts += ["HEAD\r\na\r\nFoot\r\f\u00a0HEAD\t\rb\n\u3000Foot\fHEAD\nc\nFoot", "Both\na\nx1\fBoth\nb\nx2\fx3\nc\nBoth\fx4\nd\nBoth", "ab\n1\fab\n2\fab\n3"]
+    rng = random.Random(7)
+    texts += ["\f".join("".join(rng.choice(["HEAD", " HEAD ", "Foot", "ab", "\u00e9t\u00e9", "", "\n", "\n", "\r\n", "\r", "\t", "\u00a0"]) for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id long, text string")
+    for kw in ({}, {"share": 0.3}, {"share": 0.1, "least_pages": 1}):
+        out = {r.id: r.text for r in sections.without_repeated_lines(df, "id", "text", **kw).collect()}
+        assert out == {-1: None} | {i: plain_without_repeated_lines(t, **kw) for i, t in enumerate(texts)}
+
+
+def test_query_without_repeated_headers_on_blank_pages(spark, tmp_path):
+    rows = [(1, ""), (2, None), (3, " \n"), (4, "HEAD\na\fHEAD\nb\f\fHEAD\nc"), (4, "HEAD\na\fHEAD\nb\f\fHEAD\nc")]
+    spark.createDataFrame(rows, "file_id long, text string").write.parquet(f"{tmp_path}/extractions.parquet")
+    got = sorted((r.file_id, r.digest) for r in queries.queries()["repeated_headers_removed"](spark, str(tmp_path)).collect())
+    assert got == [(1, md5(b"").hexdigest()), (2, None), (3, md5(b" \n").hexdigest()), (4, md5(b"a\fb\f\fc").hexdigest())]
+
+
 def test_metrics_store_and_readers(spark, tmp_path):
     store = f"file://{tmp_path}/metrics"
     assert evaluate.load_metrics(spark, store) is None
